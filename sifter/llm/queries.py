@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, secrets, sharding
+from . import langid, ngram_join, packing, pii, secrets, sharding
 from ._io import remainder_of_crc, table
 
 
@@ -27,6 +27,10 @@ def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), prototypes).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii_boosting,
         op3_feistel_shards,
         op4_hyperdimensional_language,
+        op5_ngram_jaccard,
         op7_linked_secrets,
         op9_bin_slack_packing,
     )
