@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, pii, secrets, sharding
+from . import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding
 from ._io import remainder_of_crc, table
 
 
@@ -31,10 +31,18 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op6_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_feistel_shards,
         op4_hyperdimensional_language,
         op5_ngram_jaccard,
+        op6_anisotropic_neighbours,
         op7_linked_secrets,
+        op8_qgram_decontamination,
         op9_bin_slack_packing,
     )
 }
