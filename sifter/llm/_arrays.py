@@ -64,6 +64,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
+def folded(flat: np.ndarray) -> np.ndarray:
+    """Lower case for A-Z and for the capitals of the Latin-1 block (as UTF-8); no length changes."""
+    low = LOWER[flat]
+    if len(low) > 1:
+        capital = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
+        low[1:][capital] += 0x20
+    return low
+
+
 def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``size`` bytes each; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
@@ -73,11 +82,11 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_bounds(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the word offsets of each document."""
+def word_bounds(flat: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the word offsets of each document; ``space`` says which bytes part words."""
     if len(flat) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[flat]
+    solid = ~space[flat]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

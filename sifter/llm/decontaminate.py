@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import LOWER, buffers, column, slices
+from ._arrays import buffers, column, folded, slices
 
 Q = 8
 UNIT, STEP = 120, 60
@@ -47,10 +47,7 @@ _KEEP[0x30:0x3A] = _KEEP[0x61:0x7B] = _KEEP[0x80:] = True
 
 def normalised(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept bytes with a zero byte after each text, the position each came from, and the offsets of the texts."""
-    low = LOWER[flat]
-    if len(low) > 1:  # capital letters of the Latin-1 block, as UTF-8
-        capital = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
-        low[1:][capital] += 0x20
+    low = folded(flat)
     keep = np.flatnonzero(_KEEP[low])
     at = np.searchsorted(keep, offsets)
     n = len(offsets) - 1

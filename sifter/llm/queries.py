@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding
+from . import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, toxicity
 from ._io import remainder_of_crc, table
 
 
@@ -53,6 +53,11 @@ def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_linked_secrets,
         op8_qgram_decontamination,
         op9_bin_slack_packing,
+        op10_ordinal_toxicity,
     )
 }
