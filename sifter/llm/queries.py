@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, toxicity
+from . import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, suffix_tree, toxicity
 from ._io import remainder_of_crc, table
 
 
@@ -15,6 +15,10 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), remainder_of_crc("doc_id", 7) == 2)
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_boosting,
+        op2_suffix_tree_scores,
         op3_feistel_shards,
         op4_hyperdimensional_language,
         op5_ngram_jaccard,
