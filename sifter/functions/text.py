@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -47,17 +47,19 @@ def normalised(text: Column) -> Column:
     return trim(F.regexp_replace(without_ansi(text), jvm("{W}+"), " "))
 
 
-def format_strip(text: Column, minimum: int = P.STRIP_MIN, ansi: bool = True, inline: bool = True, trailing: bool = True) -> Column:
-    """struct(text, method): terminal codes, runs of inline white space and trailing spaces removed. A step counts in
-    the method when it changed the length, so replacing a tab by a space goes unnamed."""
-    step1 = without_ansi(text) if ansi else text
-    step2 = F.regexp_replace(step1, P.INLINE_SPACE, " ") if inline else step1
-    step3 = F.regexp_replace(step2, "(?md) +$", "") if trailing else step2
-    changed = lambda a, b, name: F.when(F.length(a) != F.length(b), name)
-    steps = F.concat_ws("+", changed(text, step1, "ansi"), changed(step1, step2, "inline-ws"), changed(step2, step3, "trailing-ws"))
-    method = F.concat(F.lit("format-strip:"), F.when(steps == "", "noop").otherwise(steps))
-    short = units(text) < minimum
-    return F.struct(F.when(short, text).otherwise(step3).alias("text"), F.when(short, "format-strip:noop").otherwise(method).alias("method"))
+def with_strip(df: DataFrame, out: str, text: str = "text", minimum: int = P.STRIP_MIN, ansi: bool = True, inline: bool = True, trailing: bool = True) -> DataFrame:
+    """Adds ``out``: struct(text, method); terminal codes, runs of inline white space and trailing spaces are removed. A step
+    counts in the method when it changed the length, so replacing a tab by a space goes unnamed."""
+    t, a, b, c = F.col(text), F.col("_f1"), F.col("_f2"), F.col("_f3")
+    df = df.withColumn("_f1", without_ansi(t) if ansi else t)
+    df = df.withColumn("_f2", F.regexp_replace(a, P.INLINE_SPACE, " ") if inline else a)
+    df = df.withColumn("_f3", F.regexp_replace(b, "(?md) +$", "") if trailing else b)
+    changed = lambda x, y, name: F.when(F.length(x) != F.length(y), name)
+    df = df.withColumn("_f4", F.concat_ws("+", changed(t, a, "ansi"), changed(a, b, "inline-ws"), changed(b, c, "trailing-ws")))
+    method = F.concat(F.lit("format-strip:"), F.when(F.col("_f4") == "", "noop").otherwise(F.col("_f4")))
+    short = units(t) < minimum
+    done = F.struct(F.when(short, t).otherwise(c).alias("text"), F.when(short, "format-strip:noop").otherwise(method).alias("method"))
+    return df.withColumn(out, done).drop("_f1", "_f2", "_f3", "_f4")
 
 
 def handle(prefix: str, content: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,53 +60,43 @@ def tag_density(text: Column) -> Column:
     return count(text, P.TAG) / F.greatest(F.lit(1.0), units(text) / 100)
 
 
-def signals(text: Column, tool: Column, with_json: bool = True) -> Column:
-    """Names of the signals that the text shows, in order."""
-    named = [
-        (json_valid(text) if with_json else F.lit(False), F.lit("json-valid")),
-        (symbol_ratio(text) > P.SYMBOL_RATIO, F.lit("strong-symbol")),
-        (tag_density(text) > 1, F.lit("markup-tag")),
-        (found(text, P.ANSI), F.lit("ansi")),
-        (line_structured(text), F.lit("line-structured")),
-        (prose_ratio(text) > 1.5, F.lit("prose-heavy")),
-        (prose_run(text) >= 3, F.lit("prose-lines")),
-        (tool.isin(*P.SIGNAL_TOOLS), F.concat(F.lit("tool:"), tool)),
+def with_class(df: DataFrame, out: str, text: str = "text", tool: str = "tool", path: str = "path", with_json: bool = True) -> DataFrame:
+    """Adds ``out``: struct(type, confidence, signals). A null text is empty; tool and path columns may be missing.
+
+    Every step is a column of its own, so no pattern runs twice; the cheap gates (empty, binary, path) come first and texts that
+    they decide are not searched for signals.
+    """
+    optional = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    t, ratio, names = F.col("_c_text"), F.col("_c_ratio"), F.col("_c_names")
+    open_ = F.col("_c_gate") == ""
+    df = df.withColumns({"_c_text": F.coalesce(F.col(text), F.lit("")), "_c_tool": optional(tool), "_c_path": paths.filter_result(optional(path))})
+    df = df.withColumn("_c_gate", F.when(F.length(t) == 0, "empty").when(binary(t), "binary").when(F.col("_c_path.type") == "structured", "path").otherwise(""))
+    df = df.withColumn("_c_ratio", F.when(open_, prose_ratio(t)))
+    tests = [
+        (json_valid(F.when(open_, t)) if with_json else F.lit(False), F.lit("json-valid")),
+        (open_ & (symbol_ratio(t) > P.SYMBOL_RATIO), F.lit("strong-symbol")),
+        (open_ & (tag_density(t) > 1), F.lit("markup-tag")),
+        (open_ & found(t, P.ANSI), F.lit("ansi")),
+        (open_ & line_structured(t), F.lit("line-structured")),
+        (ratio > 1.5, F.lit("prose-heavy")),
+        (open_ & (prose_run(t) >= 3), F.lit("prose-lines")),
+        (open_ & F.col("_c_tool").isin(*P.SIGNAL_TOOLS), F.concat(F.lit("tool:"), F.col("_c_tool"))),
     ]
-    return F.array_compact(F.array(*(F.when(test, name) for test, name in named)))
-
-
-def decision(names: Column, ratio: Column) -> Column:
-    """struct(type, confidence) from the signals and the prose ratio."""
+    df = df.withColumn("_c_names", F.array_compact(F.array(*(F.when(test, name) for test, name in tests))))
     has = lambda name: F.array_contains(names, name)
-    s = F.when(has("json-valid"), 2.0).otherwise(0.0)
+    score = F.when(has("json-valid"), 2.0).otherwise(0.0)
     for name in ("strong-symbol", "markup-tag", "ansi", "line-structured"):
-        s = s + F.when(has(name), 1.5).otherwise(0.0)
-    p = F.when(ratio > 1.5, 0.6 + (ratio - 1.5) * 0.8).otherwise(0.0)
-    prose = has("prose-heavy") | has("prose-lines")
-    out = lambda kind, sure: F.struct(F.lit(kind).alias("type"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("double").alias("confidence"))
-    return (
-        F.when(prose & (s >= 2.5), out("mixed", 0.7))
-        .when(prose & (s >= 1.5), out("mixed", 0.6))
-        .when(prose & (p > 0), out("prose", F.least(F.lit(1.0), 0.6 + (p - 0.6) * 0.2)))
-        .when(prose, out("prose", 0.55))
-        .when(s >= 2, out("structured", F.least(F.lit(1.0), s / 3)))
-        .when(s >= 1.5, out("structured", 0.5))
-        .otherwise(out("prose", 0.5))
-    )
-
-
-def classify(text: Column, tool: Column | None = None, path: Column | None = None, with_json: bool = True) -> Column:
-    """struct(type, confidence, signals). Cheap gates come first: empty, binary, then the path; a null text is empty."""
-    tool = F.lit(None).cast("string") if tool is None else tool
-    path = F.lit(None).cast("string") if path is None else path
-    text = F.coalesce(text, F.lit(""))
-    names, by_path = signals(text, tool, with_json), paths.filter_result(path)
-    chosen = decision(names, prose_ratio(text))
-    one = lambda kind, sure, signal: F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), F.array(signal).alias("signals"))
-    why = F.when(F.size(by_path["keywords"]) > 0, F.concat(F.lit("name:"), F.element_at(by_path["keywords"], 1))).otherwise(F.concat(F.lit("ext:"), by_path["ext"]))
-    return (
-        F.when(F.length(text) == 0, one("empty", 1.0, F.lit("empty")))
-        .when(binary(text), one("structured", 0.95, F.lit("binary")))
-        .when(by_path["type"] == "structured", one("structured", 0.9, why))
-        .otherwise(F.struct(chosen["type"].alias("type"), chosen["confidence"].alias("confidence"), names.alias("signals")))
+        score = score + F.when(has(name), 1.5).otherwise(0.0)
+    df = df.withColumns({"_c_s": score, "_c_p": F.when(ratio > 1.5, 0.6 + (ratio - 1.5) * 0.8).otherwise(0.0), "_c_prose": has("prose-heavy") | has("prose-lines")})
+    s, p, prose, gate, by_path = F.col("_c_s"), F.col("_c_p"), F.col("_c_prose"), F.col("_c_gate"), F.col("_c_path")
+    kind = (
+        F.when(gate == "empty", "empty").when(gate != "", "structured").when(prose & (s >= 1.5), "mixed").when(prose, "prose").when(s >= 1.5, "structured").otherwise("prose")
     )
+    sure = (
+        F.when(gate == "empty", 1.0).when(gate == "binary", 0.95).when(gate == "path", 0.9).when(prose & (s >= 2.5), 0.7).when(prose & (s >= 1.5), 0.6)
+        .when(prose & (p > 0), F.least(F.lit(1.0), 0.6 + (p - 0.6) * 0.2)).when(prose, 0.55).when(s >= 2, F.least(F.lit(1.0), s / 3)).otherwise(0.5)
+    )
+    why = F.when(F.size(by_path["keywords"]) > 0, F.concat(F.lit("name:"), F.get(by_path["keywords"], 0))).otherwise(F.concat(F.lit("ext:"), by_path["ext"]))
+    shown = F.when(gate == "path", F.array(why)).when(gate != "", F.array(gate)).otherwise(names)
+    df = df.withColumn(out, F.struct(kind.alias("type"), sure.alias("confidence"), shown.alias("signals")))
+    return df.drop("_c_text", "_c_tool", "_c_path", "_c_gate", "_c_ratio", "_c_names", "_c_s", "_c_p", "_c_prose")

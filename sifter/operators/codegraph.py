@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.paths import import_candidates_column, language_of_source
@@ -16,9 +15,9 @@ from ..functions.scanner import scan
 from ..functions.text import signature
 from .store import latest_by_source
 
-_PARSED = T.StructType.fromDDL(
-    "definitions ARRAY<STRUCT<name: STRING, kind: STRING, start_line: INT, end_line: INT, body_text: STRING, exported: BOOLEAN>>,"
-    "imports ARRAY<STRUCT<names: ARRAY<STRING>, source: STRING, line: INT>>, calls ARRAY<STRUCT<callee: STRING, caller: STRING, line: INT>>"
+_PARSED = (
+    "STRUCT<definitions: ARRAY<STRUCT<name: STRING, kind: STRING, start_line: INT, end_line: INT, body_text: STRING, exported: BOOLEAN>>,"
+    "imports: ARRAY<STRUCT<names: ARRAY<STRING>, source: STRING, line: INT>>, calls: ARRAY<STRUCT<callee: STRING, caller: STRING, line: INT>>>"
 )
 
 

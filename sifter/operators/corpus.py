@@ -12,7 +12,7 @@ from ..functions import patterns as P
 from ..functions.paths import dotted_extension, extension, keywords
 from ..functions.text import blank, units
 
-DECISION = T.StructType.fromDDL(
+DECISION = (
     "path STRING, ext STRING, filename STRING, nameKeywords ARRAY<STRING>, size BIGINT, type STRING, confidence DOUBLE, signals ARRAY<STRING>, tool STRING, ts BIGINT"
 )
 

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions.paths import extension, language
 from ..functions.text import handle, lines, units
-from .classify import classify
+from .classify import with_class
 from .compress import note, with_compression
 
-_EVENT = T.StructType.fromDDL("tool STRING, path STRING, session_id STRING, leaves ARRAY<STRUCT<at: INT, text: STRING>>")
+_EVENT = "STRUCT<tool: STRING, path: STRING, session_id: STRING, leaves: ARRAY<STRUCT<at: INT, text: STRING>>>"
 
 
 def _get(event: dict, *names: str):
@@ -73,7 +73,7 @@ def leaves(events: DataFrame) -> DataFrame:
 def compressed_leaves(events: DataFrame, minimum: int = P.HOOK_MIN) -> DataFrame:
     """The long structured leaves with their compression. Prose, mixed and short leaves don't appear, so they stay as they are."""
     long = leaves(events).where(units(F.col("text")) >= minimum)
-    kept = long.withColumn("result", classify(F.col("text"), F.col("tool"), F.col("path"))).where("result.type = 'structured'")
+    kept = with_class(long, "result").where("result.type = 'structured'")
     kept = with_compression(kept, "text", "c").where("c.compressed")
     name = handle("orig", F.col("text"))
     code = language(extension(F.col("path"))).isNotNull()

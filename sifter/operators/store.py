@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import blank, line_range, lines, original_handle, units
 
-ORIGINALS = T.StructType.fromDDL("handle STRING, content STRING, compressed BOOLEAN, size BIGINT, source STRING, tool STRING, created_at BIGINT")
-CHUNKS = T.StructType.fromDDL("handle STRING, line_no INT, content STRING")
-METRICS = T.StructType.fromDDL(
+ORIGINALS = "handle STRING, content STRING, compressed BOOLEAN, size BIGINT, source STRING, tool STRING, created_at BIGINT"
+CHUNKS = "handle STRING, line_no INT, content STRING"
+METRICS = (
     "id BIGINT, handle STRING, source STRING, tool STRING, content_type STRING, original_size BIGINT, compressed_size BIGINT, method STRING, retrieved_count BIGINT, session_id STRING, created_at BIGINT"
 )
-SYMBOLS = T.StructType.fromDDL("handle STRING, name STRING, kind STRING, start_line INT, end_line INT, body_text STRING, signature STRING, exported BOOLEAN, lang STRING, created_at BIGINT")
-REFS = T.StructType.fromDDL("from_handle STRING, from_symbol STRING, to_handle STRING, to_symbol STRING, ref_type STRING, line INT, resolved BOOLEAN, import_src STRING, created_at BIGINT")
+SYMBOLS = "handle STRING, name STRING, kind STRING, start_line INT, end_line INT, body_text STRING, signature STRING, exported BOOLEAN, lang STRING, created_at BIGINT"
+REFS = "from_handle STRING, from_symbol STRING, to_handle STRING, to_symbol STRING, ref_type STRING, line INT, resolved BOOLEAN, import_src STRING, created_at BIGINT"
 
 
-def evolved(df: DataFrame, schema: T.StructType) -> DataFrame:
+def evolved(df: DataFrame, schema: str) -> DataFrame:
     """An older table read with the present schema: columns it lacks are NULL."""
     empty = df.sparkSession.createDataFrame([], schema)
-    return empty.unionByName(df, allowMissingColumns=True).select(*schema.names)
+    return empty.unionByName(df, allowMissingColumns=True).select(*empty.columns)
 
 
 def as_originals(captures: DataFrame, number: Column) -> DataFrame:
