@@ -68,7 +68,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, fl
     scale = 1 << 30
     cut = F.when(F.col("toxic") == 1, int(share.get(1, 0) * scale)).otherwise(int(share.get(0, 0) * scale))
     picked = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut)
-    return docs.select("doc_id", "text").join(picked, "doc_id"), {c: 1 / s for c, s in share.items()}
+    # About TOXIC + CLEAN ids of fixed size: broadcast, so that no text is shuffled.
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), {c: 1 / s for c, s in share.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
