@@ -9,6 +9,12 @@ from . import patterns as P
 from .patterns import jvm
 
 
+def fenced(value: Column) -> Column:
+    """The value itself. Being formally nondeterministic, it keeps the optimizer from copying a long expression into every
+    filter and join condition above it, where nested copies would multiply."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def units(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
@@ -59,7 +65,7 @@ def with_strip(df: DataFrame, out: str, text: str = "text", minimum: int = P.STR
     method = F.concat(F.lit("format-strip:"), F.when(F.col("_f4") == "", "noop").otherwise(F.col("_f4")))
     short = units(t) < minimum
     done = F.struct(F.when(short, t).otherwise(c).alias("text"), F.when(short, "format-strip:noop").otherwise(method).alias("method"))
-    return df.withColumn(out, done).drop("_f1", "_f2", "_f3", "_f4")
+    return df.withColumn(out, fenced(done)).drop("_f1", "_f2", "_f3", "_f4")
 
 
 def handle(prefix: str, content: Column) -> Column:

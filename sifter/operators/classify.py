@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import paths
-from ..functions.text import binary, blank, count, found, lines, symbol_ratio, trim, trim_start, units
+from ..functions.text import binary, blank, count, fenced, found, lines, symbol_ratio, trim, trim_start, units
 
 
 def _no_constant(name: str) -> None:
@@ -98,5 +98,5 @@ def with_class(df: DataFrame, out: str, text: str = "text", tool: str = "tool",
     )
     why = F.when(F.size(by_path["keywords"]) > 0, F.concat(F.lit("name:"), F.get(by_path["keywords"], 0))).otherwise(F.concat(F.lit("ext:"), by_path["ext"]))
     shown = F.when(gate == "path", F.array(why)).when(gate != "", F.array(gate)).otherwise(names)
-    df = df.withColumn(out, F.struct(kind.alias("type"), sure.alias("confidence"), shown.alias("signals")))
+    df = df.withColumn(out, fenced(F.struct(kind.alias("type"), sure.alias("confidence"), shown.alias("signals"))))
     return df.drop("_c_text", "_c_tool", "_c_path", "_c_gate", "_c_ratio", "_c_names", "_c_s", "_c_p", "_c_prose")

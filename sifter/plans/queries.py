@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,12 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = F.col("s")
     structured = F.col("r.type") == "structured"
     method = F.when(F.col("seq") % 11 == 3, "format-strip+dedup").when(F.col("seq") % 13 == 5, F.lit(None)).when(structured, stripped["method"]).otherwise("none")
-    return rows_.select(
+    out = rows_.select(
         F.col("seq").alias("id"), F.col("key").alias("handle"), F.col("path").alias("source"), "tool", F.col("r.type").alias("content_type"), text.units(F.col("text")).cast("long").alias("original_size"),
         F.when(structured, text.units(stripped["text"])).otherwise(text.units(F.col("text"))).cast("long").alias("compressed_size"), method.alias("method"), F.lit(0).cast("long").alias("retrieved_count"),
         F.col("session").alias("session_id"), (F.col("seq") * 1000 + F.length("key")).cast("long").alias("created_at"),
     )
+    return out.persist(StorageLevel.DISK_ONLY)  # the reports below read one table of metric rows
 
 
 _METRICS_SQL = f"""(SELECT seq AS id, key AS handle, path AS source, tool, type AS content_type, {D.units('text0')} AS original_size, CASE WHEN type = 'structured' THEN {D.units('text1')} ELSE {D.units('text0')} END AS compressed_size,
@@ -447,7 +449,7 @@ def q02_stats(spark, sf_dir):
 
 def _decisions(spark, sf_dir):
     out = C.with_class(S.captures(spark, sf_dir), "result", with_json=False)
-    return corpus.decisions(out.withColumn("ts", F.col("seq").cast("long")))
+    return corpus.decisions(out.withColumn("ts", F.col("seq").cast("long"))).persist(StorageLevel.DISK_ONLY)
 
 
 _DECISIONS_SQL = f"(SELECT path, coalesce(regexp_extract({_BASE}, '(?s)^.+?(\\.[^.]*)$', 1), '') AS ext, {D.keywords(f'lower(coalesce({_BASE}, {chr(39)}{chr(39)}))', P.DECISION_KEYWORDS)} AS words, {D.units('text')} AS size, type, confidence, seq AS ts, key FROM {D.classified(S.CAPTURES_SQL)})"
@@ -477,7 +479,7 @@ def _bucketed(spark, sf_dir):
     """Pages and documents with the buckets of their made-up file names."""
     rows_ = _both(spark, sf_dir).withColumn("file", F.concat("key", F.element_at(F.array(*map(F.lit, (".md", ".ts", ".txt"))), (F.col("seq") % 3 + 1).cast("int"))))
     rows_ = rows_.withColumn("bucket", corpus.bucket(F.col("file"), F.col("text"), text.binary(F.col("text"))))
-    return C.with_class(rows_, "r", tool="", path="", with_json=False).withColumn("type", F.col("r.type"))
+    return C.with_class(rows_, "r", tool="", path="", with_json=False).select("key", "seq", "bucket", F.col("r.type").alias("type")).persist(StorageLevel.DISK_ONLY)
 
 
 _BUCKETED_SQL = f"(SELECT key, seq, text, type, CASE WHEN {D.binary('text')} THEN 'binary' WHEN {D.units('text')} < 50 THEN 'skip' WHEN seq % 3 = 0 THEN 'observe' WHEN seq % 3 = 1 THEN 'structured' ELSE 'prose-candidate' END AS bucket FROM {D.classified(f'(SELECT key, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS tool, seq, text FROM {_BOTH_SQL})')})"
