@@ -10,11 +10,16 @@ from .patterns import jvm
 
 
 def fenced(value: Column) -> Column:
-    """The value itself. Being formally nondeterministic, it keeps the optimizer from copying a long expression into every
-    filter and join condition above it, where nested copies would multiply."""
+    """The value itself. Being formally nondeterministic, it keeps the optimizer from copying a long expression into every filter,
+    join condition and inferred constraint above it, where nested copies would multiply."""
     return F.when(F.rand(0) >= 0, value)
 
 
+def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A step of a longer computation as a column of its own, fenced."""
+    return df.withColumn(name, fenced(value))
+
+
 def units(text: Column) -> Column:
     """Length in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
@@ -57,15 +62,15 @@ def with_strip(df: DataFrame, out: str, text: str = "text", minimum: int = P.STR
     """Adds ``out``: struct(text, method); terminal codes, runs of inline white space and trailing spaces are removed. A step
     counts in the method when it changed the length, so replacing a tab by a space goes unnamed."""
     t, a, b, c = F.col(text), F.col("_f1"), F.col("_f2"), F.col("_f3")
-    df = df.withColumn("_f1", without_ansi(t) if ansi else t)
-    df = df.withColumn("_f2", F.regexp_replace(a, P.INLINE_SPACE, " ") if inline else a)
-    df = df.withColumn("_f3", F.regexp_replace(b, "(?md) +$", "") if trailing else b)
+    df = staged(df, "_f1", without_ansi(t) if ansi else t)
+    df = staged(df, "_f2", F.regexp_replace(a, P.INLINE_SPACE, " ") if inline else a)
+    df = staged(df, "_f3", F.regexp_replace(b, "(?md) +$", "") if trailing else b)
     changed = lambda x, y, name: F.when(F.length(x) != F.length(y), name)
-    df = df.withColumn("_f4", F.concat_ws("+", changed(t, a, "ansi"), changed(a, b, "inline-ws"), changed(b, c, "trailing-ws")))
+    df = staged(df, "_f4", F.concat_ws("+", changed(t, a, "ansi"), changed(a, b, "inline-ws"), changed(b, c, "trailing-ws")))
     method = F.concat(F.lit("format-strip:"), F.when(F.col("_f4") == "", "noop").otherwise(F.col("_f4")))
     short = units(t) < minimum
     done = F.struct(F.when(short, t).otherwise(c).alias("text"), F.when(short, "format-strip:noop").otherwise(method).alias("method"))
-    return df.withColumn(out, fenced(done)).drop("_f1", "_f2", "_f3", "_f4")
+    return staged(df, out, done).drop("_f1", "_f2", "_f3", "_f4")
 
 
 def handle(prefix: str, content: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import paths
-from ..functions.text import binary, blank, count, fenced, found, lines, symbol_ratio, trim, trim_start, units
+from ..functions.text import binary, blank, count, fenced, found, lines, staged, symbol_ratio, trim, trim_start, units
 
 
 def _no_constant(name: str) -> None:
@@ -69,9 +69,9 @@ def with_class(df: DataFrame, out: str, text: str = "text", tool: str = "tool",
     optional = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
     t, ratio, names = F.col("_c_text"), F.col("_c_ratio"), F.col("_c_names")
     open_ = F.col("_c_gate") == ""
-    df = df.withColumns({"_c_text": F.coalesce(F.col(text), F.lit("")), "_c_tool": optional(tool), "_c_path": paths.filter_result(optional(path))})
-    df = df.withColumn("_c_gate", F.when(F.length(t) == 0, "empty").when(binary(t), "binary").when(F.col("_c_path.type") == "structured", "path").otherwise(""))
-    df = df.withColumn("_c_ratio", F.when(open_, prose_ratio(t)))
+    df = df.withColumns({"_c_text": fenced(F.coalesce(F.col(text), F.lit(""))), "_c_tool": fenced(optional(tool)), "_c_path": fenced(paths.filter_result(optional(path)))})
+    df = staged(df, "_c_gate", F.when(F.length(t) == 0, "empty").when(binary(t), "binary").when(F.col("_c_path.type") == "structured", "path").otherwise(""))
+    df = staged(df, "_c_ratio", F.when(open_, prose_ratio(t)))
     tests = [
         (json_valid(F.when(open_, t)) if with_json else F.lit(False), F.lit("json-valid")),
         (open_ & (symbol_ratio(t) > P.SYMBOL_RATIO), F.lit("strong-symbol")),
@@ -82,12 +82,12 @@ def with_class(df: DataFrame, out: str, text: str = "text", tool: str = "tool",
         (open_ & (prose_run(t) >= 3), F.lit("prose-lines")),
         (open_ & F.col("_c_tool").isin(*P.SIGNAL_TOOLS), F.concat(F.lit("tool:"), F.col("_c_tool"))),
     ]
-    df = df.withColumn("_c_names", F.array_compact(F.array(*(F.when(test, name) for test, name in tests))))
+    df = staged(df, "_c_names", F.array_compact(F.array(*(F.when(test, name) for test, name in tests))))
     has = lambda name: F.array_contains(names, name)
     score = F.when(has("json-valid"), 2.0).otherwise(0.0)
     for name in ("strong-symbol", "markup-tag", "ansi", "line-structured"):
         score = score + F.when(has(name), 1.5).otherwise(0.0)
-    df = df.withColumns({"_c_s": score, "_c_p": F.when(ratio > 1.5, 0.6 + (ratio - 1.5) * 0.8).otherwise(0.0), "_c_prose": has("prose-heavy") | has("prose-lines")})
+    df = df.withColumns({"_c_s": fenced(score), "_c_p": fenced(F.when(ratio > 1.5, 0.6 + (ratio - 1.5) * 0.8).otherwise(0.0)), "_c_prose": fenced(has("prose-heavy") | has("prose-lines"))})
     s, p, prose, gate, by_path = F.col("_c_s"), F.col("_c_p"), F.col("_c_prose"), F.col("_c_gate"), F.col("_c_path")
     kind = (
         F.when(gate == "empty", "empty").when(gate != "", "structured").when(prose & (s >= 1.5), "mixed").when(prose, "prose").when(s >= 1.5, "structured").otherwise("prose")
@@ -98,5 +98,5 @@ def with_class(df: DataFrame, out: str, text: str = "text", tool: str = "tool",
     )
     why = F.when(F.size(by_path["keywords"]) > 0, F.concat(F.lit("name:"), F.get(by_path["keywords"], 0))).otherwise(F.concat(F.lit("ext:"), by_path["ext"]))
     shown = F.when(gate == "path", F.array(why)).when(gate != "", F.array(gate)).otherwise(names)
-    df = df.withColumn(out, fenced(F.struct(kind.alias("type"), sure.alias("confidence"), shown.alias("signals"))))
+    df = staged(df, out, F.struct(kind.alias("type"), sure.alias("confidence"), shown.alias("signals")))
     return df.drop("_c_text", "_c_tool", "_c_path", "_c_gate", "_c_ratio", "_c_names", "_c_s", "_c_p", "_c_prose")

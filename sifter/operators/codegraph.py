@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.paths import import_candidates_column, language_of_source
@@ -15,10 +16,18 @@ from ..functions.scanner import scan
 from ..functions.text import signature
 from .store import latest_by_source
 
-_PARSED = (
-    "STRUCT<definitions: ARRAY<STRUCT<name: STRING, kind: STRING, start_line: INT, end_line: INT, body_text: STRING, exported: BOOLEAN>>,"
-    "imports: ARRAY<STRUCT<names: ARRAY<STRING>, source: STRING, line: INT>>, calls: ARRAY<STRUCT<callee: STRING, caller: STRING, line: INT>>>"
-)
+_S, _I = T.StringType(), T.IntegerType()
+
+
+def _list(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+
+
+_PARSED = T.StructType([
+    T.StructField("definitions", _list(name=_S, kind=_S, start_line=_I, end_line=_I, body_text=_S, exported=T.BooleanType())),
+    T.StructField("imports", _list(names=T.ArrayType(_S), source=_S, line=_I)),
+    T.StructField("calls", _list(callee=_S, caller=_S, line=_I)),
+])
 
 
 @F.udf(_PARSED, useArrow=True)

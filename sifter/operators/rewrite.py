@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,8 @@ from ..functions.text import handle, lines, units
 from .classify import with_class
 from .compress import note, with_compression
 
-_EVENT = "STRUCT<tool: STRING, path: STRING, session_id: STRING, leaves: ARRAY<STRUCT<at: INT, text: STRING>>>"
+_LEAF = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("text", T.StringType())])
+_EVENT = T.StructType([*(T.StructField(n, T.StringType()) for n in ("tool", "path", "session_id")), T.StructField("leaves", T.ArrayType(_LEAF))])
 
 
 def _get(event: dict, *names: str):
@@ -73,8 +75,9 @@ def leaves(events: DataFrame) -> DataFrame:
 def compressed_leaves(events: DataFrame, minimum: int = P.HOOK_MIN) -> DataFrame:
     """The long structured leaves with their compression. Prose, mixed and short leaves don't appear, so they stay as they are."""
     long = leaves(events).where(units(F.col("text")) >= minimum)
-    kept = with_class(long, "result").where("result.type = 'structured'")
-    kept = with_compression(kept, "text", "c").where("c.compressed")
+    # Both steps feed several tables, and their long expressions shouldn't be planned into the filters that follow.
+    judged = with_class(long, "result").persist(StorageLevel.DISK_ONLY)
+    kept = with_compression(judged.where("result.type = 'structured'"), "text", "c").persist(StorageLevel.DISK_ONLY).where("c.compressed")
     name = handle("orig", F.col("text"))
     code = language(extension(F.col("path"))).isNotNull()
     emitted = F.concat(F.col("c.text"), note(name, F.size(lines(F.col("text"))), F.col("path"), F.coalesce(code, F.lit(False))))
