@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 hit = model.features[at] == hashes
                 key, count = np.unique(row[hit] * len(model.features) + at[hit], return_counts=True)
                 z += np.bincount(i + key // len(model.features), model.weights[key % len(model.features)] * np.log1p(count), len(b))
-            over = 1 / (1 + np.exp(np.clip(model.thresholds[None] - z[:, None], -700, 700)))
+            over = 1 / (1 + np.exp(np.clip(model.thresholds[None] - z[:, None], -700, 700))) * np.isfinite(model.thresholds)
             part = np.column_stack([1 - over[:, 0], *(over[:, k] - over[:, k + 1] for k in range(GRADES - 2)), over[:, -1]])
             arrays = [pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(part.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0] >= CUT)]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *arrays], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
