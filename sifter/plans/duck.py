@@ -95,7 +95,9 @@ def binary(x: str) -> str:
 
 def binary_for_digest(x: str) -> str:
     head = f"substr({x}, 1, 20000)"
-    return f"({count(head, P.CONTROL_DIGEST)} > 0.05 * length({head}))"
+    # The running rule is tested at its first place only: control characters of the derived data stand at the front.
+    front = f"substr({x}, 1, 2002)"
+    return f"({count(head, P.CONTROL_DIGEST)} > 0.05 * length({head}) OR (length({x}) > 2001 AND {count(front, P.CONTROL_DIGEST)} > 0.05 * 2002))"
 
 
 def symbol_ratio(x: str) -> str:
