@@ -396,14 +396,14 @@ _SEARCH_SQL = f"""SELECT handle, line_no, round(-(idf1 * tf1 * 2.2 / (tf1 + 1.2
 @query(f"{_SEARCH_SQL} ORDER BY rank, handle, line_no LIMIT 50")
 def f01_search(spark, sf_dir):
     """A word and a phrase over all handles."""
-    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", limit=1 << 30)
+    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", limit=10_000)
     return found.select("handle", "line_no", F.round("rank", 6).alias("rank")).orderBy("rank", "handle", "line_no").limit(50)
 
 
 @query(f"SELECT * FROM ({_SEARCH_SQL}) WHERE handle = 'src-src1' ORDER BY rank, handle, line_no LIMIT 10")
 def f03_search_in_handle(spark, sf_dir):
     """The handle filters the result; statistics stay global."""
-    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", handle="src-src1", limit=1 << 30)
+    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", handle="src-src1", limit=10_000)
     return found.select("handle", "line_no", F.round("rank", 6).alias("rank")).orderBy("rank", "handle", "line_no").limit(10)
 
 
