@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fenced
+
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 #: Accented letters of the Latin-1 block and the letters they fold to; fixed values.
@@ -48,7 +50,7 @@ def search(chunks: DataFrame, query: str, handle: str | None = None, limit: int
     wanted = phrases(query)
     if not wanted:
         return chunks.select("handle", "line_no", "content", F.lit(0.0).alias("rank")).limit(0)
-    counted = chunks.select("handle", "line_no", "content", tokens(F.col("content")).alias("terms")).select(
+    counted = chunks.select("handle", "line_no", "content", fenced(tokens(F.col("content"))).alias("terms")).select(
         "handle", "line_no", "content", F.size("terms").alias("dl"), *(_times(F.col("terms"), p).alias(f"tf{i}") for i, p in enumerate(wanted))
     )
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(wanted))))
