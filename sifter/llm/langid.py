@@ -9,6 +9,12 @@ Trigrams run over lower-case letters with one gap symbol for every run of other
 Prototypes are learnt from at most about ``SAMPLE`` labelled rows of each language, taken by a hash of the row's id so
 that the choice is the same on every run; every other step covers all rows.
 
+The best of the centred cosines is never below 0 where there are two languages or more, so it can't tell a text in none of
+them. ``floors`` therefore learns how near a language's own texts come to its prototype: their affinity is the mean inner product of
+a text's trigrams with the uncentred prototype, whose expectation doesn't depend on length and whose error goes with the root of
+the number of distinct trigrams. With floors, a text whose affinity is below both the language's floor and that for its number of
+trigrams is ``und`` as well; texts of few distinct trigrams (about 40) can't be told and stay.
+
 Cases: a null text, or one without a letter, is ``und`` with score 0; a null language or id trains nothing; with no
 training rows everything is ``und``; equal scores go to the language first in order; repeated rows give repeated results.
 """
@@ -30,6 +36,11 @@ SAMPLE = 2000
 UND = "und"
 _ADDED = (T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()))
 _GAP = 0
+#: A floor is this many times as far below the median as the QUANTILE of the language's texts, within the bounds (shares of the
+#: median), which hold where few texts or wrong labels make the quantile useless; a text half in one language and half in another
+#: has about half of the median, and stays.
+FAR, QUANTILE = 2.0, 0.01
+AT_LENGTH, BY_LENGTH = (0.55, 0.65), (6.0, 12.0)
 
 
 def _letters() -> np.ndarray:
@@ -84,6 +95,12 @@ class Profiles:
 
     def of(self, text: bytes) -> np.ndarray | None:
         """The text's unit vector; None without a letter."""
+        found = self.measured(text)
+        return None if found is None else found[0]
+
+    def measured(self, text: bytes) -> tuple[np.ndarray, float, int] | None:
+        """The text's unit vector, the length that it had as a mean of unit trigram vectors, and its number of distinct
+        trigrams; None without a letter."""
         codes = letter_codes(text)
         if not codes.any():
             return None
@@ -94,18 +111,25 @@ class Profiles:
             self._learn(part)
             total += counts[i : i + 2048].astype(np.float32) @ self.rows[np.searchsorted(self.codes, part)].astype(np.float32)
         size = np.sqrt((total.astype(np.float64) ** 2).sum())
-        return total / size if size else None
+        return (total / size, float(size / (counts.sum() * np.sqrt(self.dim))), len(grams)) if size else None
 
 
-def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Unit prototypes of the languages in the rows where ``training`` holds."""
+def _picked(docs: DataFrame, training, sample: int) -> DataFrame | None:
+    """lang and text of at most about ``sample`` labelled rows of each language where ``training`` holds; None without any."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not share:
-        return {}
+        return None
     scale = 1 << 30
     cut = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * scale))))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut[F.col("lang")]).select("lang", "text")
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut[F.col("lang")]).select("lang", "text")
+
+
+def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Unit prototypes of the languages in the rows where ``training`` holds."""
+    picked = _picked(docs, training, sample)
+    if picked is None:
+        return {}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(dim), {}
@@ -124,9 +148,39 @@ def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> di
     return {k: v / max(1e-12, float(np.linalg.norm(v))) for k, v in sorted(out.items())}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE) -> dict[str, tuple[float, float, float]]:
+    """By language, from the labelled rows of ``docs``: the median affinity of its texts, how far below it a text of any length may
+    be, and how far at one distinct trigram, which falls with the root of their number."""
+    picked = _picked(docs, F.col("lang").isin(list(prototypes)), sample) if prototypes else None
+    if picked is None:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(len(next(iter(prototypes.values()))))
+        for b in batches:
+            out = []
+            for lang, text in zip(column(b, "lang").to_pylist(), column(b, "text").to_pylist(), strict=True):
+                found = profiles.measured(text.encode())
+                if found is not None:
+                    out.append((lang, float(prototypes[lang] @ found[0]) * found[1], found[2]))
+            lang, near, grams = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(near, pa.float64()), pa.array(grams, pa.int64())], ["lang", "near", "grams"])
+
+    by: dict[str, list[tuple[float, int]]] = {}
+    for r in picked.mapInArrow(run, "lang STRING, near DOUBLE, grams BIGINT").collect():  # about SAMPLE rows of each language
+        by.setdefault(r["lang"], []).append((r["near"], r["grams"]))
+    out = {}
+    for lang, rows in by.items():
+        near, grams = np.array(rows).T
+        middle = float(np.median(near))
+        below = lambda x, bounds, m=middle: m * float(np.clip(-FAR * np.quantile(x, QUANTILE) / m, *bounds)) if m > 0 else 0.0
+        out[lang] = (middle, below(near - middle, AT_LENGTH), below((near - middle) * np.sqrt(grams), BY_LENGTH))
+    return out
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
     """All columns of ``docs`` plus lang_pred, score (the best cosine, from -1..1 to 0..1) and margin over the next
-    language; columns of these names are replaced."""
+    language; columns of these names are replaced. With ``least``, floors by language, texts below them are ``und``."""
     names = list(prototypes)
     table = np.stack([*prototypes.values()]) if names else np.zeros((0, DIM))
     mean = table.mean(axis=0) if len(names) > 1 else np.zeros(table.shape[1])
@@ -142,14 +196,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             pred, score, margin = [UND] * len(b), np.zeros(len(b)), np.zeros(len(b))
             for i, j in slices(offsets):
                 for k in range(i, j):
-                    v = profiles.of(flat[offsets[k] : offsets[k + 1]].tobytes()) if names else None
-                    if v is None:
+                    found = profiles.measured(flat[offsets[k] : offsets[k + 1]].tobytes()) if names else None
+                    if found is None:
                         continue
-                    v = v - mean
+                    own, size, grams = found
+                    v = own - mean
                     cos = np.round(centred @ v / max(1e-12, float(np.linalg.norm(v))), 9)
                     best = int(cos.argmax())
                     rest = np.delete(cos, best)
-                    pred[k], score[k], margin[k] = names[best], (1 + cos[best]) / 2, cos[best] - (rest.max() if len(rest) else -1)
+                    middle, always, once = (least or {}).get(names[best], (0.0, np.inf, np.inf))
+                    far = middle - float(table[best] @ own) * size > max(always, once / np.sqrt(grams))
+                    pred[k], score[k], margin[k] = UND if far else names[best], (1 + cos[best]) / 2, cos[best] - (rest.max() if len(rest) else -1)
             arrays = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(margin)]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "lang_pred", "score", "margin"])
 

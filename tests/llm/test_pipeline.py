@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import corpus_pipeline
 from sifter.llm._io import stored, table
 
@@ -16,3 +19,18 @@ def test_stages_take_effect_and_keep_clean_rows(spark):
     assert docs.where("text RLIKE '[0-9a-f]{32,}'").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_language_stage_rejects_foreign_texts_and_junk(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    r = random.Random(7)
+    say = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    foreign = [say(["prze", "szcz", "owie", "jest", "ych", "łą", "wsk", "dzi"], 150), say(["ств", "ого", "при", "ние", "ать", "ров"], 150), say(["kuu", "llä", "stä", "minen", "tta", "yhd"], 150)]
+    junk = [" ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(30)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(900)), "for (int i = 0; i < rows.size(); ++i) { if (!ptr->mask(0x7f)) goto fail_lock; buf[i] ^= kQueue[i % 8]; }\n" * 4]
+    halves = [max((x["text"] for x in docs.where(f"lang = '{lang}' AND length(text) < 3000").collect()), key=len)[:700] for lang in ("fr", "en")]
+    short = [" ".join(halves), "Von.", "That it.", "Erinst resh.", "Des enberge die enver.", "Osrañ.", "Pachque çaneux et."]
+    planted = [(1000000 + i, t, None) for i, t in enumerate([*foreign, *junk, *short])]
+    got = {x["doc_id"] for x in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(planted, docs.schema)), "").select("doc_id").collect()}
+    bad = len(foreign) + len(junk)
+    assert not got & set(range(1000000, 1000000 + bad))
+    assert got >= set(range(1000000 + bad, 1000000 + bad + len(short))) | {x["doc_id"] for x in docs.select("doc_id").collect()}
