@@ -2,10 +2,10 @@
 
 Base spans follow three fixed patterns and always stay. Weak candidates (a short or oddly named secret, a
 high-entropy token, a user or key identifier) mean nothing alone; they are reported only where the parts of one
-credential co-occur. Parts are identifiers, secrets and endpoints; each has an interval that reaches ``REACH``
-characters to either side within its scope, a block of text without blank lines. An interval join on sorted starts
-links a weak secret with the identifiers and endpoints whose intervals touch its own; a weak identifier is reported with
-the secret (weak or base) that it is linked to.
+credential co-occur. Parts are identifiers (base access key ids among them), secrets and endpoints; each has the interval of its
+scope, a whole block of text without blank lines, however long. An interval join on the sorted starts of the blocks links a weak
+secret with the identifiers and endpoints of its interval; a weak identifier is reported with the secret (weak or base) that it is
+linked to.
 
 Cases: a null or empty text has no spans; texts are read whole; repeated rows give repeated results; an empty table
 gives an empty result; columns other than doc_id and text are ignored.
@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +27,6 @@ from ._spans import SPANS, Span, redacted, span_digest, spans_array
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "weak_secret", "identifier")
-REACH = 200
 #: Bits per character that a bare token of 20 or more characters needs.
 ENTROPY = 3.5
 
@@ -61,11 +60,12 @@ def entropy(s: str) -> float:
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak secrets and identifiers that belong to a multipart credential."""
-    if ":" not in text and "=" not in text:
+    keys = [s for s in base if s.kind == "access"]
+    if not keys and ":" not in text and "=" not in text:
         return []
     names = [Span(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
     places = [Span(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    if not names and not places:
+    if not names and not places and not keys:
         return []
     taken = lambda s, others: any(o.start < s.end and s.start < o.end for o in others)
     weak = [s for m in _WEAK.finditer(text) if not taken(s := Span(m.start(), m.end(), "weak_secret"), base)]
@@ -78,18 +78,14 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     cuts = [m.start() for m in _BLANK.finditer(text)]
     scope = lambda s: bisect_right(cuts, s.start)
 
-    def near(left: list[Span], right: list[Span]) -> Iterator[tuple[Span, Span]]:
-        """Interval join: pairs in one scope at most REACH characters apart. Spans of one pattern don't overlap, so
-        sorted starts are sorted ends too and each left span reads one run of the right ones."""
-        right = sorted(right)
-        starts, ends = [s.start for s in right], [s.end for s in right]
-        for a in left:
-            for b in right[bisect_left(ends, a.start - REACH) : bisect_right(starts, a.end + REACH)]:
-                if scope(a) == scope(b):
-                    yield a, b
-
-    out = {a for a, _ in near(weak, names)} | {a for a, _ in near(weak, places)}
-    out |= {b for a, b in near([*out, *base], names) if not taken(b, base)}
+    def near(left: Iterable[Span], right: Iterable[Span]) -> list[Span]:
+        """Interval join: those of the left whose block holds one of the right. Blocks don't overlap, so a block is found by
+        its start."""
+        blocks = {scope(b) for b in right}
+        return [a for a in left if scope(a) in blocks]
+
+    out = set(near(weak, [*names, *places, *keys]))
+    out |= {b for b in near(names, [*out, *base]) if not taken(b, base)}
     return sorted(out)
 
 
