@@ -276,6 +276,25 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_among_scaled_and_near_copies(spark):
+    """Over 200 scaled copies and over 200 near copies, whose codes are alike, and vectors in no crowd."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1600, 16)).astype(np.float32)
+    x[100:700] = x[50] * 2.0 ** rng.integers(-3, 4, size=(600, 1))
+    x[700:1300] = x[1350] + 0.01 * rng.normal(size=(600, 16))
+    order = rng.permutation(1600)
+    table = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    for q in range(0, 1600, 50):
+        s = np.round(y @ y[q], 12)
+        s[q] = -9
+        assert got[q] == np.lexsort((np.arange(1600), -s))[:5].tolist(), q
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
