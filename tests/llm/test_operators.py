@@ -192,28 +192,78 @@ def test_suffix_tree(docs, empty):
     n, v = sum(count.values()), len(count)
     want = sorted((str(i), held(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
     assert suffix_tree.score(empty, F.lit(False)).count() == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    """The chances of all bytes and the end after any history sum to one, and the automaton finds the longest suffix."""
-    counts = collections.defaultdict(lambda: np.zeros(suffix_tree.SYMBOLS))
-    text = b"banana bandana cabana " * 200
-    flat = np.frombuffer(text, np.uint8)
-    code, raw, of, _ = suffix_tree.symbols(flat, np.array([0, len(flat)]))
-    for i, c in enumerate(code.tolist()):
-        past = ([0] * suffix_tree.DEPTH + code[:i].tolist())[-suffix_tree.DEPTH :]
-        for d in range(suffix_tree.DEPTH + 1):
-            counts[tuple(past[len(past) - d :])][c] += 1
-    tree = suffix_tree.grow(dict(counts), np.bincount(raw, minlength=257))
-    assert np.allclose((10**tree.logp).sum(axis=1), 1)
-    share = 10 ** tree.share[:256]
-    assert np.allclose(np.bincount(suffix_tree.CLASS, share, 32)[2:29], 1)
-    likely = suffix_tree.symbol_scores(tree, code, raw, of).mean()
-    odd = np.frombuffer(b"qzxj wvky" * 9, np.uint8)
-    c2, r2, o2, _ = suffix_tree.symbols(odd, np.array([0, len(odd)]))
-    assert likely > -0.4 and suffix_tree.symbol_scores(tree, c2, r2, o2).mean() < likely - 0.5
+def brute_tree(rows, held, hot):
+    """The tree with plain dictionaries: the log10 of every text's chance."""
+    lower = lambda t: re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "")
+    tokens = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), "</s>"] for _, t in rows]
+    follow = [collections.defaultdict(collections.Counter) for _ in range(3)]
+    for (i, _), own in zip(rows, tokens, strict=True):
+        for k in range(1, len(own)) if not held(i) else ():
+            for d in range(min(k, 2) + 1):
+                follow[d][tuple(own[k - d : k])][own[k]] += 1
+    n, v = sum(follow[0][()].values()), len(follow[0][()])
+    base = lambda x: (follow[0][()][x] + 1) / (n + v + 1)
+    kept = {}
+
+    def chance(context, x):
+        if not context:
+            return base(x)
+        q, seen = chance(context[1:], x), follow[len(context)].get(context)
+        if not seen or not retained(context):
+            return q
+        s = suffix_tree.STRENGTH[len(context) - 1]
+        return (seen[x] + s * q) / (sum(seen.values()) + s)
+
+    asked = collections.defaultdict(set)
+    for own in tokens:
+        for k in range(1, len(own)):
+            for d in range(1, min(k, 2) + 1):
+                asked[tuple(own[k - d : k])].add(own[k])
+
+    def retained(context):
+        if context not in kept:
+            seen, s = follow[len(context)][context], suffix_tree.STRENGTH[len(context) - 1]
+            total = sum(seen.values())
+            q = {x: 2 ** (-min(63, round(-math.log2(chance(context[1:], x)) * 4) / 4)) for x in asked[context]}
+            p = {x: (seen[x] + s * q[x]) / (total + s) for x in q}
+            rest = max(0, 1 - sum(q.values())) * s / (total + s)
+            kept[context] = total > hot or total >= suffix_tree.LEAST and sum(p[x] * math.log(p[x] / q[x]) for x in q) + rest * math.log(s / (total + s)) >= suffix_tree.DIVERGENCE
+        return kept[context]
+
+    return [sum(math.log10(chance(tuple(own[max(0, k - 2) : k]), own[k])) for k in range(1, len(own))) for own in tokens], kept
+
+
+@pytest.mark.parametrize("block,bucket,hot", [(1 << 22, 1 << 24, 1 << 20), (2000, 4000, 1 << 20), (2000, 4000, 6)])
+def test_suffix_tree_against_dictionaries(spark, docs, block, bucket, hot, monkeypatch):
+    """One block or many; with a small HOT the common contexts are cut into slices, and retained."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    rows = all_rows(docs)
+    rows = [(i, t if not t or len(t) < 5000 else t[:5000]) for i, t in rows]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    sizes = {"BLOCK_BYTES": block, "BUCKET_BYTES": bucket}
+    for k, x in sizes.items():
+        monkeypatch.setattr(suffix_tree, k, x)
+    monkeypatch.setattr(suffix_tree, "block_size", lambda *a: block)
+    got = suffix_tree.score(table, remainder_of_crc("doc_id", 7) == 2, hot=hot).collect()
+    want, kept = brute_tree(rows, held, hot)
+    assert any(kept.values()) and not all(kept.values())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got)
+    assert got == sorted((str(i), len((t or "").split()) + 1, round(x, 6)) for (i, t), x in zip(rows, want, strict=True))
+    model, base = sum(want), sum(r["base_score"] for r in suffix_tree.score(table, F.lit(False)).collect())
+    assert model > base
+
+
+def test_suffix_tree_hears_the_order_of_words(spark):
+    r = random.Random(3)
+    line = lambda: " ".join(x for _ in range(r.randint(3, 9)) for x in r.choice([["red", "fox"], ["blue", "sea", "calm"], ["old", "oak"]]))
+    train = [(i, line()) for i in range(200)]
+    rows = train + [(1000, "red fox blue sea calm"), (1001, "fox calm sea red blue")]
+    got = {x["doc_id"]: (x["score"], x["base_score"]) for x in suffix_tree.score(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), F.col("doc_id") >= 1000).collect()}
+    assert got[1000][1] == pytest.approx(got[1001][1]) and got[1000][0] > got[1001][0] + 1
 
 
 def edits(a, b):
