@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,27 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a new local one, in local mode only: on a
+    cluster each executor would write to its own disk."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark.sparkContext, "_sifter_folder", None) or tempfile.mkdtemp(prefix="sifter-")
         spark.sparkContext._sifter_folder = base
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: its lineage ends there, so a lost
-    executor costs no recomputation, and every later pass sees the same rows."""
-    path = f"{shared_folder(df.sparkSession)}/sifter-{uuid.uuid4().hex}"
+    executor costs no recomputation, and every later pass sees the same rows. Each application has a folder of its own, so what
+    lazy results still need can be deleted when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sifter-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sifter_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, when nothing reads it any more."""
+    spark, path = df.sparkSession, getattr(df, "_sifter_path", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder_of_crc(col: str, mod: int) -> Column:
     """crc32 of a column's text, modulo ``mod``; a null column gives 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod, F.lit(0))
-
-
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts; one narrow aggregate, used to size partitions by the data."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

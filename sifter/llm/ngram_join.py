@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of word n-gram sets, by prefix filtering and set-relation skipping.
 
-1. Texts are dealt into blocks by a hash of the row. Each block sends the distinct shingles of half of the hash space, as
-   packed arrays of 32-bit prints, to buckets; buckets add up document frequencies and send back those of at least two.
+1. Texts stand in blocks. Each block sends the distinct shingles of half of the hash space, as
+   packed arrays of 32-bit prints, to buckets; buckets add up document frequencies and answer in the order they were asked in.
    A print stands for its shingle only in the order below, where any function of the shingle is sound.
 2. Shingles are ordered by frequency. A document whose unshared shingles fill its prefix (n - ceil(t*n) + 1) can't be
    linked and drops out, which is nearly every document that has no near copy; the others keep the shared rest of the
@@ -14,7 +14,8 @@
    cost their differences instead of their sizes. Overlaps are exact counts, so no pair needs a second check.
 5. Links join sets into classes; a class is named by its least doc_id.
 
-Sets are compared by 64-bit shingle hashes. Everything runs over all rows, and no list or group is cut short.
+Sets are compared by 64-bit shingle hashes and named by 128 bits. Copies are counted by set; joins by set, shingle or class spread
+hot keys. Everything runs over all rows, and no list or group is cut short.
 
 Cases: a text with fewer words than n is one shingle; without words, null or empty it has none and links with nothing; repeated
 rows are copies like any others; a null doc_id takes part but never names a class unless it has no other; an empty
@@ -24,16 +25,16 @@ table gives an empty result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import column, gram_hashes, hash_words, mix
-from ._graph import components
-from ._io import stored, text_bytes
+from ._arrays import gram_hashes, hash_words, mix
+from ._blocks import block_size, buckets_for, dealt, grouped, packed_bytes, packed_counts, size_of, text_array, text_blocks, texts_of, unpacked, unpacked_counts
+from ._graph import components, spread_join
+from ._io import dropped, stored
 
 #: Text of a block, and text whose shingles fill a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
@@ -41,6 +42,7 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 CHUNK = 2048
 #: Positions (ranks by size) in a block of an index list.
 SKIP = 256
+_OTHER = np.uint64(0x6A09_E667_F3BC_C908)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -68,53 +70,53 @@ def _even(hashes: np.ndarray) -> np.ndarray:
 
 
 def _block_prints(k: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks()
-        own = [_even(s) for s in shingle_sets(texts, k)]
-        keys, counts = np.unique(_prints(np.concatenate(own), buckets), return_counts=True)
-        cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-        used = np.flatnonzero(np.diff(cut))
-        block = table.column("block")[0].as_py()
-        return pa.table({
-            "block": pa.array([block] * len(used), pa.int64()), "bucket": pa.array(used, pa.int64()),
-            "prints": pa.array([(keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for b in used], pa.binary()),
-            "counts": pa.array([np.minimum(counts[cut[b] : cut[b + 1]], 0xFFFF).astype(np.uint16).tobytes() for b in used], pa.binary()),
-        })
+    """The distinct prints of each block with the number of its documents that have them, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_prints(_even(s), buckets) for s in shingle_sets(text_array(*texts_of(row)), k))]), return_counts=True)
+                cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                used = np.flatnonzero(np.diff(cut)).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["block"]] * len(used), pa.int64()), pa.array(used, pa.int64()), pa.array([int(cut[b + 1] - cut[b]) for b in used], pa.int64()),
+                    pa.array([packed_bytes((keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4")) for b in used], pa.binary()), pa.array([packed_counts(counts[cut[b] : cut[b + 1]]) for b in used], pa.binary()),
+                ], ["block", "bucket", "n", "prints", "counts"])
 
     return run
 
 
-def _shared_prints(table: pa.Table) -> pa.Table:
-    """Of one bucket: for every block, its prints of shingles in two documents or more, with their frequency."""
-    prints = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("prints")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("counts")])
+def _print_totals(table: pa.Table) -> pa.Table:
+    """Of one bucket: for every block, the document frequencies of its prints, in their order."""
+    rows = table.to_pylist()
+    prints = [unpacked(r["prints"], np.uint32) for r in rows]
     keys, at = np.unique(np.concatenate(prints), return_inverse=True)
-    total = np.bincount(at, counts, len(keys))
-    of = np.concatenate([[0], np.cumsum([len(x) for x in prints])])
-    out, often = [], []
-    for i, own in enumerate(prints):
-        n = total[at[of[i] : of[i + 1]]]
-        out.append(own[n >= 2].tobytes())
-        often.append(np.minimum(n[n >= 2], 0xFFFF).astype(np.uint16).tobytes())
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "prints": pa.array(out, pa.binary()), "counts": pa.array(often, pa.binary())})
+    total = np.bincount(at, np.concatenate([unpacked_counts(r["counts"], r["n"]) for r in rows]), len(keys)).astype(np.int64)
+    parts = np.split(total[at], np.cumsum([len(x) for x in prints])[:-1])
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"), "counts": pa.array([packed_counts(x) for x in parts], pa.binary())})
+
+
+def _set_key(own: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    n = np.uint64(len(own))
+    return np.array([mix(own).sum(dtype=np.uint64) ^ n, mix(own ^ _OTHER).sum(dtype=np.uint64) + n], "<u8").tobytes()
 
 
-def _block_sets(k: int, percent: int, buckets: int, id_type: pa.DataType):
+def _block_sets(k: int, percent: int, buckets: int):
     names = ["doc_id", "n", "key", "shared", "keys", "hashes"]
 
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(shared.column(c).to_pylist() for c in ("bucket", "prints", "counts")), strict=True))
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, p, _ in rows)])
-        often = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(c, np.uint16).astype(np.int64) for _, _, c in rows)])
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(text_array(*texts_of(block.select(["texts", "offsets"]).to_pylist()[0])), k))
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_prints(_even(s), buckets) for s in sets)]))
+        often = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(r["counts"], r["n"]) for r in sorted(told.to_pylist(), key=lambda r: r["bucket"]))])
         size, key, linked, keys, hashes, seen = [], [], [], [], [], set()
-        for own in shingle_sets(docs.column("text").combine_chunks(), k) if len(docs) else ():
+        for own in sets:
             n = len(own)
             size.append(n)
-            key.append(int((mix(own).sum(dtype=np.uint64) ^ np.uint64(n)).astype(np.int64)) if n else 0)
+            key.append(_set_key(own) if n else None)
             even = _even(own)
-            prints = _prints(even, buckets)
-            at = np.minimum(np.searchsorted(known, prints), max(len(known) - 1, 0))
-            common = known[at] == prints if len(known) else np.zeros(len(even), bool)
+            times = often[np.searchsorted(known, _prints(even, buckets))]
+            common = times >= 2
             prefix = n - needed(n, percent) + 1
             alone = len(even) - int(common.sum())
             linked.append(n > 0 and alone < prefix)
@@ -123,12 +125,12 @@ def _block_sets(k: int, percent: int, buckets: int, id_type: pa.DataType):
                 hashes.append(None)
                 continue
             seen.add(key[-1])
-            rest = even[common][np.lexsort((even[common], often[at[common]]))][: prefix - alone]
+            rest = even[common][np.lexsort((even[common], times[common]))][: prefix - alone]
             if len(rest) < prefix - alone:
                 rest = np.concatenate([rest, own[own & np.uint64(1) == 1][: prefix - alone - len(rest)]])
             keys.append(rest.astype(np.int64))
             hashes.append(own.tobytes())
-        arrays = [docs.column("doc_id").combine_chunks() if len(docs) else pa.array([], id_type), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
+        arrays = [block.column("doc_id").combine_chunks().flatten(), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
         return pa.Table.from_arrays(arrays, names)
 
     return run
@@ -193,31 +195,35 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterato
 
 def _join_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        label, key, part, copies = (table.column(c).to_numpy() for c in ("label", "key", "part", "copies"))
+        label, key = table.column("label").to_pylist(), table.column("key").to_pylist()
+        part, copies = (table.column(c).to_numpy() for c in ("part", "copies"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
         one = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        parent, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+        parent, links = list(range(len(sets))), np.zeros(len(sets), np.int64)
 
         def root(i: int) -> int:
             while parent[i] != i:
                 parent[i] = parent[parent[i]]
-                i = int(parent[i])
+                i = parent[i]
             return i
 
-        order = np.argsort(label, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            if len(group) < 2:
+        groups: dict[bytes, list[int]] = {}
+        for i, x in enumerate(label):
+            groups.setdefault(x, []).append(i)
+        for own in groups.values():
+            if len(own) < 2:
                 continue
-            for a, others in join_sets([sets[i] for i in group], np.zeros(len(group)) if one else part[group], percent):
-                i = group[a]
-                for j in group[others]:
+            group = np.array(own)
+            for a, others in join_sets([sets[i] for i in own], np.zeros(len(own)) if one else part[group], percent):
+                i = own[a]
+                for j in group[others].tolist():
                     links[i] += copies[j]
                     links[j] += copies[i]
                     x, y = root(i), root(j)
                     if x != y:
                         x, y = (x, y) if key[x] < key[y] else (y, x)
                         parent[y] = x
-        return pa.table({"key": key, "least": key[[root(i) for i in range(len(sets))]], "links": links})
+        return pa.table({"key": pa.array(key, pa.binary()), "least": pa.array([key[root(i)] for i in range(len(sets))], pa.binary()), "links": links})
 
     return run
 
@@ -225,41 +231,42 @@ def _join_group(percent: int):
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows linked with) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = text_bytes(docs)
-    blocks, buckets = max(1, ceil(size / BLOCK_BYTES)), max(1, ceil(size / BUCKET_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block"), "doc_id", "text")
-    packed = "block BIGINT, bucket BIGINT, prints BINARY, counts BINARY"
-    prints = dealt.groupBy("block").applyInArrow(_block_prints(k, buckets), packed)
-    shared = prints.groupBy("bucket").applyInArrow(_shared_prints, packed)
-    id_type = pa.string() if kind == "string" else pa.int64()
-    all_sets = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_block_sets(k, percent, buckets, id_type), f"doc_id {kind}, n BIGINT, key BIGINT, shared BOOLEAN, keys ARRAY<BIGINT>, hashes BINARY")
+    size = size_of(docs)
+    each = block_size(docs.sparkSession, size, BLOCK_BYTES)
+    groups, buckets = buckets_for(size, each), buckets_for(size, BUCKET_BYTES)
+    blocks = text_blocks(docs, each, "doc_id")
+    prints = blocks.select("block", "texts", "offsets").mapInArrow(_block_prints(k, buckets), "block BIGINT, bucket BIGINT, n BIGINT, prints BINARY, counts BINARY")
+    told = grouped(prints, "bucket", buckets, _print_totals, "block BIGINT, bucket BIGINT, n BIGINT, counts BINARY")
+    all_sets = dealt(blocks, "block", groups).groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(_block_sets(k, percent, buckets), f"doc_id {kind}, n BIGINT, key BINARY, shared BOOLEAN, keys ARRAY<BIGINT>, hashes BINARY")
     rows = stored(all_sets)
+    dropped(blocks)
 
-    copies = rows.where("shared").groupBy("key").agg(F.count("*").alias("copies"))
-    sets = rows.where("hashes IS NOT NULL").dropDuplicates(["key"]).select("key", "keys", "hashes")
+    # By set, not by row: the copies of a text are counted where they are.
+    copies = stored(rows.where("shared").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")))
+    sets = stored(rows.where("hashes IS NOT NULL").dropDuplicates(["key"]).select("key", "keys", "hashes"))
     entries = sets.select("key", F.explode("keys").alias("token"))
-    least = entries.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("token", "least")
-    near = components(entries.join(least, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    shared = entries.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("token", "least")
+    near = components(spread_join(entries, shared, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
     labels = stored(near.select(F.col("node").alias("key"), "label").unionByName(near.select(F.col("label").alias("key"), "label").distinct()))
 
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     most = sizes.agg(F.max("parts")).first()[0] or 1
     part = F.pmod(F.xxhash64("key"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    info = spread_join(labels, sizes, "label").join(copies.select("key", "copies"), "key")  # a row a set, without its hashes
     placed = (
-        sets.select("key", "hashes").join(labels, "key").join(sizes, "label").join(copies, "key").withColumn("part", part).withColumn("other", other)
+        sets.select("key", "hashes").join(info, "key").withColumn("part", part).withColumn("other", other)
         .withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-        .withColumn("task", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(2 * buckets))).otherwise(F.col("label")))
-        .withColumn("one", F.col("parts") == 1)
+        .withColumn("task", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(4 * buckets))).otherwise(F.xxhash64("label")))
+        .withColumn("one", F.when(F.col("parts") > 1, F.col("label")))
     )
-    joined = stored(placed.groupBy("one", "task", "low", "high").applyInArrow(_join_group(percent), "key BIGINT, least BIGINT, links BIGINT"))
+    joined = stored(placed.groupBy("one", "task", "low", "high").applyInArrow(_join_group(percent), "key BINARY, least BINARY, links BIGINT"))
     links = joined.groupBy("key").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
     if most > 1:  # classes that reach over several tasks
         classes = components(joined.select(F.col("key").alias("a"), F.col("least").alias("b")))
         links = links.drop("least").join(classes.select(F.col("node").alias("key"), F.col("label").alias("least")), "key", "left")
-    of_set = copies.join(links, "key", "left").select("key", F.coalesce("least", "key").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    members = rows.where("shared").select("doc_id", "n", "key").join(of_set, "key")
-    first = members.groupBy("least").agg(F.min("doc_id").alias("component_id"))
-    linked = members.join(first, "least").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    of_set = stored(copies.join(links, "key", "left").select("key", "first", F.coalesce("least", "key").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = spread_join(of_set, of_set.groupBy("least").agg(F.min("first").alias("component_id")), "least").select("key", "component_id", "n_links")
+    linked = spread_join(rows.where("shared").select("doc_id", "n", "key"), named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("NOT shared").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return alone.unionByName(linked)
