@@ -2,7 +2,7 @@
 
 Texts and items are compared as bytes of lower-case letters and digits; white space and punctuation are left out, so
 re-wrapped and re-punctuated copies stay visible. An item is cut into overlapping units of at most ``UNIT`` bytes, with
-an edit budget of ``RATE`` of its length each (none below ``EXACT`` bytes). By the q-gram lemma a region within e
+an edit budget of ``RATE`` of its length each, or (m - q) / q where that is less. By the q-gram lemma a region within e
 edits of a unit of m bytes shares at least m + 1 - q*(e + 1) q-grams with it, on diagonals that differ by at most e:
 
 1. positions whose q-gram occurs in any unit are marked by a bitmap, and runs without enough marks in reach are dropped;
@@ -11,8 +11,9 @@ edits of a unit of m bytes shares at least m + 1 - q*(e + 1) q-grams with it, on
 3. the bands left are verified by banded alignment, all of a batch at once, with free ends in the text.
 
 A document is contaminated by an item when one of its units is found. The lemma loses no match, whole texts are scanned,
-long ones in overlapping stretches, and the benchmark is sent to the executors in parts of at most ``PART_BYTES``,
-one pass over the texts for each, so nothing sent grows without bound.
+long ones in overlapping stretches. Hits are expanded ``PIECE`` at a time, and a band is decided once the scan is past it, so that
+repetitive text and items cost time but no memory. The benchmark is sent to the executors in parts of about ``PART_BYTES``, a
+longer item alone, one pass over the texts for each, so nothing sent grows without bound.
 
 Cases: a null or empty text or item matches nothing; items of fewer than q letters and digits are too short to be evidence
 and match nothing; repeated rows give repeated results; an empty table on either side gives an empty result; other columns
@@ -35,8 +36,9 @@ from ._arrays import buffers, column, folded, slices
 Q = 8
 UNIT, STEP = 120, 60
 RATE = 0.08
-EXACT = 48
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+#: Pairs of a position and an occurrence of its q-gram that are counted at once.
+PIECE = 1 << 19
 _STRETCH = 1 << 20
 _BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,31 +69,30 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """The units of some benchmark items and the index of their q-grams."""
+    """The units of some benchmark items and the index of their q-grams, in flat arrays."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        self.item, self.text, self.start = [], [], []
+        self.item, texts = [], []
         for key, raw in items:
             flat = np.frombuffer((raw or "").encode(), np.uint8)
             own = normalised(flat, np.array([0, len(flat)]))[0][:-1]
             for s in [*range(0, max(len(own) - UNIT, 0), STEP), max(len(own) - UNIT, 0)]:
                 if len(own[s : s + UNIT]) >= Q:
                     self.item.append(key)
-                    self.text.append(own[s : s + UNIT])
-                    self.start.append(s)
-        self.size = np.array([len(u) for u in self.text], np.int64)
+                    texts.append(own[s : s + UNIT])
+        self.size = np.array([len(u) for u in texts], np.int64)
+        self.flat, self.begin = np.concatenate([np.zeros(0, np.uint8), *texts]), np.cumsum(self.size) - self.size
         # Beyond (m - q) / q edits the bound would ask for no shared q-gram at all.
-        self.edits = np.where(self.size < EXACT, 0, np.minimum(RATE * self.size, (self.size - Q) // Q).astype(np.int64))
+        self.edits = np.minimum(RATE * self.size, (self.size - Q) / Q).astype(np.int64)
         self.least = self.size + 1 - Q * (self.edits + 1)
         self.band = self.edits + 1
-        codes = [grams(u) for u in self.text]
+        codes = [grams(u) for u in texts]
         flat = np.concatenate([np.zeros(0, np.uint64), *codes])
-        of = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])
         order = np.argsort(flat, kind="stable")
         self.grams, first = np.unique(flat[order], return_index=True)
         self.cuts = np.append(first, len(flat))
-        self.unit, self.at = of[order], pos[order]
+        self.unit = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])[order]
+        self.at = np.concatenate([np.zeros(0, np.uint8), *(np.arange(len(c), dtype=np.uint8) for c in codes)])[order]
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self._slot(self.grams)] = True
 
@@ -121,22 +122,33 @@ class Units:
         hit = self.grams[found] == codes[spots]
         spots, found = spots[hit], found[hit]
         size = self.cuts[found + 1] - self.cuts[found]
-        entry = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.cuts[found], size)
-        unit = self.unit[entry]
-        band = (np.repeat(spots, size) - self.at[entry]) // self.band[unit]
-        # Each hit counts in both bands that hold its diagonal.
-        key = np.concatenate([unit << 40 | band + (1 << 30), unit << 40 | band - 1 + (1 << 30)])
-        key, count = np.unique(key, return_counts=True)
-        unit = key >> 40
-        good = count >= self.least[unit]
-        return unit[good], (key[good] & (1 << 40) - 1) - (1 << 30)
+        out, keys, counts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        reach = np.cumsum(size)
+        i = 0
+        while i < len(spots):
+            j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + PIECE, side="right")))
+            own = size[i:j]
+            entry = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(self.cuts[found[i:j]], own)
+            unit = self.unit[entry].astype(np.int64)
+            band = (np.repeat(spots[i:j], own) - self.at[entry]) // self.band[unit]
+            # Each hit counts in both bands that hold its diagonal.
+            key, add = np.unique(np.concatenate([unit << 40 | band + (1 << 30), unit << 40 | band - 1 + (1 << 30)]), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, add]), len(keys)).astype(np.int64)
+            unit = keys >> 40
+            # A band is past when its last diagonal is further back than a unit is long.
+            past = ((keys & (1 << 40) - 1) - (1 << 30) + 2) * self.band[unit] + UNIT < (spots[j] if j < len(spots) else np.inf)
+            out.append(keys[past & (counts >= self.least[unit])])
+            keys, counts, i = keys[~past], counts[~past], j
+        key = np.sort(np.concatenate([np.zeros(0, np.int64), *out]))
+        return key >> 40, (key & (1 << 40) - 1) - (1 << 30)
 
     def verified(self, text: np.ndarray, unit: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The fewest edits between each unit and a stretch of the text in its band, and the position where that ends."""
         edits, ends = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
         for m in np.unique(self.size[unit]):
             for own in np.array_split(pick := np.flatnonzero(self.size[unit] == m), -(-len(pick) // 2048)):
-                u, e = np.stack([self.text[i] for i in unit[own]]), int(self.edits[unit[own[0]]])
+                u, e = self.flat[self.begin[unit[own], None] + np.arange(m)], int(self.edits[unit[own[0]]])
                 low = band[own] * (e + 1) - e
                 cols = np.arange(2 * (e + 1) + 2 * e)
                 cost = np.zeros((len(own), len(cols)), np.int32)
@@ -159,12 +171,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, ceil(size / PART_BYTES))
     item_type = benchmark.schema["item_id"]
+    ids = {"string": pa.string(), "int": pa.int32()}.get(item_type.dataType.simpleString(), pa.int64())
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
 
     def one(part: int) -> DataFrame:
-        own = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        units = Units([(r["item_id"], r["text"]) for r in own.collect()])  # PART_BYTES of text
+        units = Units([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(own == part).collect()])  # about PART_BYTES of text
         shared = docs.sparkSession.sparkContext.broadcast(units)
-        ids = {"string": pa.string(), "int": pa.int32()}.get(item_type.dataType.simpleString(), pa.int64())
         return docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, shared.value, ids), shape)
 
     return reduce(DataFrame.unionAll, map(one, range(parts)))

@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sifter.llm import ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, suffix_tree, toxicity
+from sifter.llm import _graph, ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, suffix_tree, toxicity
 from sifter.llm._io import remainder_of_crc
 from sifter.llm.queries import tokenizer_path
 
@@ -166,6 +167,10 @@ def brute_links(texts, k=5):
 def test_ngram_join(spark, empty, chunk, monkeypatch):
     """Against all pairs; with small chunks a neighbourhood is joined in several tasks."""
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    if chunk == 8:  # many blocks and buckets, and keys of four rows are hot
+        monkeypatch.setattr(_graph, "ROWS", 3)
+        monkeypatch.setattr(ngram_join, "block_size", lambda *a: 3000)
+        monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 5000)
     r = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     texts = list(TEXTS)
@@ -196,6 +201,15 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.score(empty, F.lit(False)).count() == 0
 
 
+def test_ngram_join_with_null_and_repeated_ids_and_clashing_columns(spark):
+    one, two = "a b c d e f g h i j k l", "a b c d e f g h i j k l m"
+    rows = [(5, one), (5, one), (None, one), (7, two), (None, "x y"), (None, "x y"), (9, None), (9, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, "k", "b", [1], 0.5) for i, t in rows], "doc_id BIGINT, text STRING, key STRING, block STRING, keys ARRAY<INT>, label DOUBLE")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in ngram_join.ngram_join(table).collect())
+    want = [("5", 8, "5", 3), ("5", 8, "5", 3), ("None", 8, "5", 3), ("7", 9, "5", 3), ("None", 1, "None", 1), ("None", 1, "None", 1), ("9", 0, "9", 0), ("9", 0, "9", 0), ("None", 0, "None", 0)]
+    assert got == sorted(want)
+
+
 def brute_tree(rows, held, hot):
     """The tree with plain dictionaries: the log10 of every text's chance."""
     lower = lambda t: re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "")
@@ -295,12 +309,44 @@ def test_decontamination(spark, docs, empty):
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(table, bench).collect()}
     plain = lambda t: re.sub(r"[^a-z0-9]", "", (t or "").lower())
     units = decontaminate.Units(items)
-    want = {(d, units.item[u]) for d, t in enumerate(texts) for u in range(len(units.text)) if edits(units.text[u].tobytes().decode(), plain(t)) <= units.edits[u]}
+    want = {(d, units.item[u]) for d, t in enumerate(texts) for u in range(len(units.size)) if edits(units.flat[units.begin[u] :][: units.size[u]].tobytes().decode(), plain(t)) <= units.edits[u]}
     assert got == want and {(3 + i, i) for i in range(5)} <= got
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench).count() == 0
 
 
+def test_decontamination_of_repetitive_texts_takes_bounded_memory():
+    units = decontaminate.Units([(1, "a" * 120), (2, "0" * 300), (3, "abab" * 40)])
+    for text in ("a" * 1_000_000, "ab" * 100_000):
+        flat, _, _ = decontaminate.normalised(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        tracemalloc.start()
+        unit, band = units.candidates(flat)
+        edits, _ = units.verified(flat, unit[:3000], band[:3000])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 << 20 and len(unit) > 10_000 and edits.min() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_decontamination_in_pieces_and_parts(spark, parts, monkeypatch):
+    """Hits counted a few at a time, several parts, a seam of stretches in a long text, short items with an edit, repeated rows."""
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(1, letters(30)), (2, letters(300)), (3, letters(14)), (2, letters(90))]
+    if parts > 1:
+        monkeypatch.setattr(decontaminate, "PART_BYTES", 160)
+    short = items[0][1]
+    long = letters((1 << 20) - 150) + items[1][1] + letters(5000)
+    texts = [(1, "x " + short[:12] + "#q" + short[13:]), (1, "x " + short[:12] + "#q" + short[13:]), (2, long), (None, items[2][1].upper()), (4, items[2][1][:7] + "--" + items[2][1][7:]), (5, letters(500))]
+    got = sorted((str(x["doc_id"]), x["item_id"]) for x in decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 2), ("4", 3), ("None", 3)]
+    whole = decontaminate.Units(items)
+    flat, _, _ = decontaminate.normalised(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    want = whole.candidates(flat)
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    assert all(np.array_equal(x, y) for x, y in zip(whole.candidates(flat), want, strict=True))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)).astype(np.float32)
