@@ -33,6 +33,12 @@ from ._arrays import buffers, column, slices, stream
 
 DIM = 1024
 SAMPLE = 2000
+#: Languages learnt at most: the most frequent labels.
+LANGUAGES = 512
+#: Distinct trigrams whose vectors are made at once, and codes that are ranked by a table.
+PART, TABLE = 2048, 1 << 23
+#: Texts measured at once.
+TEXTS = 512
 UND = "und"
 _ADDED = (T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()))
 _GAP = 0
@@ -57,67 +63,95 @@ def _letters() -> np.ndarray:
 _LETTER: list[np.ndarray] = []
 
 
-def letter_codes(text: bytes) -> np.ndarray:
-    """Letters of a UTF-8 text with one gap for every run of other characters, and at either end."""
+def letter_codes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of UTF-8 texts with one gap for every run of other characters and between texts; the text each belongs to; and
+    which gaps part texts."""
     if not _LETTER:
         _LETTER.append(_letters())
-    points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-    codes = _LETTER[0][np.minimum(points, 0xFFFF)]
+    n = len(offsets) - 1
+    points = np.frombuffer(flat.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[offsets]  # where each text begins, in characters
+    codes = np.full(len(points) + n + 1, _GAP, np.int64)
+    spot = np.arange(len(points)) + 1 + np.repeat(np.arange(n), np.diff(at))
+    own = _LETTER[0][np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
-        codes[i] = points[i] if chr(points[i]).isalpha() else _GAP
-    codes = np.concatenate([[_GAP], codes, [_GAP]])
-    return codes[(codes != _GAP) | np.concatenate([[True], codes[1:] != codes[:-1]])]
+        own[i] = points[i] if chr(points[i]).isalpha() else _GAP
+    codes[spot] = own
+    text = np.zeros(len(codes), np.int64)
+    text[spot] = np.repeat(np.arange(n), np.diff(at))
+    keep = (codes != _GAP) | np.concatenate([[True], codes[1:] != codes[:-1]])
+    run = np.cumsum(keep) - 1
+    parting = np.bincount(run[at + np.arange(n + 1)], minlength=run[-1] + 1) > 0
+    return codes[keep], text[keep], parting
 
 
 class Profiles:
-    """Bundles of trigram vectors. Vectors are kept for trigrams in use, at most ``keep`` of them."""
+    """Bundles of trigram vectors of many texts at once."""
 
-    def __init__(self, dim: int = DIM, keep: int = 1 << 14):
-        self.dim, self.keep, self.letters = dim, keep, {}
-        self.codes, self.rows = np.zeros(0, np.int64), np.zeros((0, dim), np.int8)
+    def __init__(self, dim: int = DIM):
+        self.dim, self.letters = dim, {}
+
+    def _made(self, code: int) -> np.ndarray:
+        bits = np.unpackbits(stream(1000 + code, self.dim // 64).view(np.uint8))
+        return bits.astype(np.int8) * 2 - 1
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
-            bits = np.unpackbits(stream(1000 + code, self.dim // 64).view(np.uint8))
-            self.letters[code] = bits.astype(np.int8) * 2 - 1
+            if len(self.letters) > 1 << 14:
+                self.letters = {}
+            self.letters[code] = self._made(code)
         return self.letters[code]
 
-    def _learn(self, codes: np.ndarray) -> None:
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
-        if not len(new):
-            return
-        if len(self.codes) + len(new) > self.keep:
-            self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
-        made = np.stack([np.roll(self.letter(int(c) >> 42), 2) * np.roll(self.letter(int(c) >> 21 & 0x1FFFFF), 1) * self.letter(int(c) & 0x1FFFFF) for c in new])
-        codes, rows = np.concatenate([self.codes, new]), np.concatenate([self.rows, made])
-        order = np.argsort(codes)
-        self.codes, self.rows = codes[order], rows[order]
-
-    def of(self, text: bytes) -> np.ndarray | None:
-        """The text's unit vector; None without a letter."""
-        found = self.measured(text)
-        return None if found is None else found[0]
-
-    def measured(self, text: bytes) -> tuple[np.ndarray, float, int] | None:
-        """The text's unit vector, the length that it had as a mean of unit trigram vectors, and its number of distinct
-        trigrams; None without a letter."""
-        codes = letter_codes(text)
-        if not codes.any():
-            return None
-        grams, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
-        total = np.zeros(self.dim, np.float32)
-        for i in range(0, len(grams), 2048):
-            part = grams[i : i + 2048]
-            self._learn(part)
-            total += counts[i : i + 2048].astype(np.float32) @ self.rows[np.searchsorted(self.codes, part)].astype(np.float32)
-        size = np.sqrt((total.astype(np.float64) ** 2).sum())
-        return (total / size, float(size / (counts.sum() * np.sqrt(self.dim))), len(grams)) if size else None
+    def measured(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: its unit vector, the length that it had as a mean of unit trigram vectors, and its number of distinct
+        trigrams; zeros without a letter."""
+        n = len(offsets) - 1
+        total, length, grams = np.zeros((n, self.dim)), np.zeros(n), np.zeros(n, np.int64)
+        codes, text, parting = letter_codes(flat, offsets)
+        inner = ~parting[1:-1] & np.ones(max(len(codes) - 2, 0), bool)
+        if not inner.any():
+            return total, length, grams
+        names, small = _ranks(codes)
+        k = len(names)
+        found, which = _ranks(((small[:-2] * k + small[1:-1]) * k + small[2:])[inner])
+        text = text[1:-1][inner]
+        rolled = [np.stack([np.roll(self.letter(c), d) for c in names.tolist()]) for d in (2, 1, 0)]
+        order = np.argsort(which // PART, kind="stable")
+        parts = -(-len(found) // PART)
+        cuts = np.searchsorted((which // PART)[order], np.arange(parts + 1))
+        for i in range(parts):
+            own = order[cuts[i] : cuts[i + 1]]
+            part = found[i * PART : (i + 1) * PART]
+            counts = np.bincount(text[own] * len(part) + (which[own] - i * PART), minlength=n * len(part)).reshape(n, len(part))
+            bound = rolled[0][part // (k * k)] * rolled[1][part // k % k] * rolled[2][part % k]
+            total += counts.astype(np.float32) @ bound.astype(np.float32)  # whole numbers, exact below 2**24
+            grams += (counts > 0).sum(axis=1)
+        size = np.sqrt((total * total).sum(axis=1))
+        count = np.bincount(text, minlength=n)
+        return total / np.maximum(size, 1e-300)[:, None], size / np.maximum(count * np.sqrt(self.dim), 1), np.where(size > 0, grams, 0)
+
+
+def _some(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are measured at once, by size and number."""
+    for i, j in slices(offsets):
+        for k in range(i, j, TEXTS):
+            yield k, min(j, k + TEXTS)
+
+
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the rank of each; by a table where they are small."""
+    most = int(values.max()) + 1
+    if most > TABLE:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
 
 
 def _picked(docs: DataFrame, training, sample: int) -> DataFrame | None:
     """lang and text of at most about ``sample`` labelled rows of each language where ``training`` holds; None without any."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not share:
         return None
     scale = 1 << 30
@@ -134,16 +168,18 @@ def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> di
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(dim), {}
         for b in batches:
-            for lang, text in zip(column(b, "lang").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                v = profiles.of(text.encode())
-                if v is not None:
-                    total[lang] = total.get(lang, 0) + v.astype(np.float64)
+            names = np.array(column(b, "lang").to_pylist(), object)
+            flat, offsets = buffers(column(b, "text"))
+            for i, j in _some(offsets):
+                vectors = profiles.measured(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
+                for lang in set(names[i:j]):
+                    total[lang] = total.get(lang, 0) + vectors[names[i:j] == lang].sum(axis=0)
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "at", "value"])
 
     out: dict[str, np.ndarray] = {}
     # Rounded before summing, so that the order in which partitions end changes nothing.
-    for r in picked.mapInArrow(sums, "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # languages times DIM
+    for r in picked.mapInArrow(sums, "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # LANGUAGES times DIM
         out.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["v"] / 1e6
     return {k: v / max(1e-12, float(np.linalg.norm(v))) for k, v in sorted(out.items())}
 
@@ -158,13 +194,15 @@ def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(len(next(iter(prototypes.values()))))
         for b in batches:
-            out = []
-            for lang, text in zip(column(b, "lang").to_pylist(), column(b, "text").to_pylist(), strict=True):
-                found = profiles.measured(text.encode())
-                if found is not None:
-                    out.append((lang, float(prototypes[lang] @ found[0]) * found[1], found[2]))
-            lang, near, grams = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(near, pa.float64()), pa.array(grams, pa.int64())], ["lang", "near", "grams"])
+            names = column(b, "lang").to_pylist()
+            flat, offsets = buffers(column(b, "text"))
+            out = [(np.zeros(0), np.zeros(0, np.int64))]
+            for i, j in _some(offsets):
+                own, size, grams = profiles.measured(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                out.append((np.einsum("ij,ij->i", own, np.stack([prototypes[x] for x in names[i:j]])) * size, grams))
+            near, grams = (np.concatenate(x) for x in zip(*out, strict=True))
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(near), pa.array(grams)], ["lang", "near", "grams"])
+            yield batch.filter(pa.array(grams > 0))
 
     by: dict[str, list[tuple[float, int]]] = {}
     for r in picked.mapInArrow(run, "lang STRING, near DOUBLE, grams BIGINT").collect():  # about SAMPLE rows of each language
@@ -178,36 +216,37 @@ def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAM
     return out
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, tuple[float, float, float]] | None = None, prefix: str = "") -> DataFrame:
     """All columns of ``docs`` plus lang_pred, score (the best cosine, from -1..1 to 0..1) and margin over the next
-    language; columns of these names are replaced. With ``least``, floors by language, texts below them are ``und``."""
+    language (or over -1), their names after ``prefix``; columns of these names are replaced. With ``least``, floors by language, texts below them are ``und``."""
     names = list(prototypes)
     table = np.stack([*prototypes.values()]) if names else np.zeros((0, DIM))
     mean = table.mean(axis=0) if len(names) > 1 else np.zeros(table.shape[1])
     centred = table - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
     dim = table.shape[1]
-    docs = docs.drop(*(f.name for f in _ADDED))
+    below = np.array([(least or {}).get(x, (0.0, np.inf, np.inf)) for x in names]).reshape(-1, 3).T
+    added = [T.StructField(prefix + f.name, f.dataType) for f in _ADDED]
+    docs = docs.drop(*(f.name for f in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dim)
         for b in batches:
             flat, offsets = buffers(column(b, "text"))
             pred, score, margin = [UND] * len(b), np.zeros(len(b)), np.zeros(len(b))
-            for i, j in slices(offsets):
-                for k in range(i, j):
-                    found = profiles.measured(flat[offsets[k] : offsets[k + 1]].tobytes()) if names else None
-                    if found is None:
-                        continue
-                    own, size, grams = found
-                    v = own - mean
-                    cos = np.round(centred @ v / max(1e-12, float(np.linalg.norm(v))), 9)
-                    best = int(cos.argmax())
-                    rest = np.delete(cos, best)
-                    middle, always, once = (least or {}).get(names[best], (0.0, np.inf, np.inf))
-                    far = middle - float(table[best] @ own) * size > max(always, once / np.sqrt(grams))
-                    pred[k], score[k], margin[k] = UND if far else names[best], (1 + cos[best]) / 2, cos[best] - (rest.max() if len(rest) else -1)
+            for i, j in _some(offsets) if names else ():
+                own, size, grams = profiles.measured(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                v = own - mean
+                cos = np.round(v @ centred.T / np.maximum(1e-12, np.linalg.norm(v, axis=1))[:, None], 9)
+                best, rows = cos.argmax(axis=1), np.arange(j - i)
+                top = cos[rows, best]
+                cos[rows, best] = -1
+                far = below[0][best] - (own * table[best]).sum(axis=1) * size > np.maximum(below[1][best], below[2][best] / np.sqrt(np.maximum(grams, 1)))
+                for k in np.flatnonzero((grams > 0) & ~far).tolist():
+                    pred[i + k] = names[best[k]]
+                score[i:j] = np.where(grams > 0, (1 + top) / 2, 0)
+                margin[i:j] = np.where(grams > 0, top - cos.max(axis=1), 0)
             arrays = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(margin)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "lang_pred", "score", "margin"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *_ADDED]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
