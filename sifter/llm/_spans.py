@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,6 +21,30 @@ class Span(NamedTuple):
     kind: str
 
 
+class Cover:
+    """Spans that are taken, as disjoint stretches in order."""
+
+    def __init__(self, spans: Iterable[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        i = bisect_left(self.starts, span.end) - 1
+        return i >= 0 and self.ends[i] > span.start
+
+    def add(self, span: Span) -> None:
+        """Takes one that meets none so far."""
+        i = bisect_left(self.starts, span.start)
+        self.starts.insert(i, span.start)
+        self.ends.insert(i, span.end)
+
+
 def joined(spans: list[Span], kinds: tuple[str, ...]) -> str:
     """kind:start:end of all spans by start, then kind as listed, then end, comma-joined."""
     rank = {k: i for i, k in enumerate(kinds)}

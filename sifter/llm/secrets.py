@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._arrays import column
-from ._spans import SPANS, Span, redacted, span_digest, spans_array
+from ._spans import SPANS, Cover, Span, redacted, span_digest, spans_array
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "weak_secret", "identifier")
@@ -39,6 +39,7 @@ _IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|a
 _ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|ftps?|ssh|redis|amqps?|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+)://[^\s\"'<>]+|(?<![A-Za-z0-9])(?:host|server|endpoint|url)[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9][A-Za-z0-9._:/-]{3,}", re.I | re.A)
 _WEAK = re.compile(r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase)?|pwd|pw|secret(?:_?access)?(?:_?key)?|client_?secret|auth(?:_?key)?|private_?key|api_?key|token|credential|pin)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{4,})", re.I | re.A)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_SET = re.compile(r"[:=][ \t]*[\"']?$")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -67,13 +68,16 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     places = [Span(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
     if not names and not places and not keys:
         return []
-    taken = lambda s, others: any(o.start < s.end and s.start < o.end for o in others)
-    weak = [s for m in _WEAK.finditer(text) if not taken(s := Span(m.start(), m.end(), "weak_secret"), base)]
+    own = Cover(base)
+    weak = [s for m in _WEAK.finditer(text) if not own.meets(s := Span(m.start(), m.end(), "weak_secret"))]
+    taken = Cover([*base, *weak, *names, *places])
     for m in _TOKEN.finditer(text):
         s = Span(m.start(), m.end(), "weak_secret")
-        if re.search(r"[0-9]", m[0]) and re.search(r"[a-z]", m[0]) and re.search(r"[A-Z]", m[0]) and entropy(m[0]) >= ENTROPY and not taken(s, [*base, *weak, *names, *places]):
+        if re.search(r"[0-9]", m[0]) and re.search(r"[a-z]", m[0]) and re.search(r"[A-Z]", m[0]) and entropy(m[0]) >= ENTROPY and not taken.meets(s):
             weak.append(s)
-    if not weak and not base:
+    # A bare run of hex digits is as often a checksum; it is a secret of somebody's only where something is set to it.
+    secrets = [s for s in base if s.kind == "assign" or s.kind == "hex" and _SET.search(text, max(0, s.start - 8), s.start)]
+    if not weak and not secrets:
         return []
     cuts = [m.start() for m in _BLANK.finditer(text)]
     scope = lambda s: bisect_right(cuts, s.start)
@@ -85,7 +89,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         return [a for a in left if scope(a) in blocks]
 
     out = set(near(weak, [*names, *places, *keys]))
-    out |= {b for b in near(names, [*out, *base]) if not taken(b, base)}
+    out |= {b for b in near(names, [*out, *secrets]) if not own.meets(b)}
     return sorted(out)
 
 
