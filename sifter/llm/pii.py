@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, plus spans chosen by gradient boosting over candidate generators.
 
 Base spans follow four fixed patterns and always stay. High-recall generators then propose further,
-overlapping spans (numbers written without a plus, cards and addresses in other groupings, e-mail addresses
-spelt out), boosted trees score each proposal from its format and its context, and proposals above the
+overlapping spans (numbers written without a plus, cards in other groupings, e-mail and network addresses
+spelt out, network addresses in hexadecimal groups), boosted trees score each proposal from its format and its context, and proposals above the
 calibrated threshold of their kind are kept, best first, where they overlap neither a base span nor a
 better proposal.
 
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 
 from ._arrays import column
 from ._boosting import BoostedTrees
-from ._spans import SPANS, Span, span_digest, spans_array
+from ._spans import SPANS, Cover, Span, span_digest, spans_array
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING = 4000
+TRAINING = 8000
 #: Share of kept proposals that must be right, on generated rows held back for it.
 PRECISION = 0.99
 
@@ -39,16 +39,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _RUN = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
 
 _NUMBER = re.compile(r"(?<![\w.+])[(+]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}(?!\w)")
-_SPELT = re.compile(
-    r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|＠|[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}"
-    r"(?:\s?(?:\.|[\[({]\s?(?:dot|DOT)\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63}){1,4}"
-)
+#: An e-mail address that is spelt out is found from what stands for its at-sign.
+_AT = re.compile(r"\s?(?:@|＠|[\[({]\s?(?:at|AT)\s?[\])}])\s?|\s(?:at|AT)\s")
+_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}$")
+_PLACE = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]{2,63}){1,4}")
+#: An address in four parts with other points than plain ones, or in hexadecimal groups.
+_PARTS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s|\s\.\s|,)[0-9]{1,3}){3}(?![0-9]|[.,][0-9])")
+_GROUPS = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,15}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 _CUES = {
     "email": re.compile(r"(?i)e-?mail|mail|contact|write|reach"),
-    "ip": re.compile(r"(?i)\bip\b|host|server|address|addr"),
+    "ip": re.compile(r"(?i)\bip(?:v[46])?\b|host|server|address|addr|ping|gateway|dns|route|login from"),
     "card": re.compile(r"(?i)card|visa|master|amex|credit|debit|pay|pan\b"),
     "phone": re.compile(r"(?i)phone|tel|call|mobile|cell|fax|sms|dial|ring"),
 }
@@ -107,10 +110,14 @@ def proposals(text: str) -> list[Span]:
                 out.append(Span(m.start(), m.end(), "phone"))
             if 13 <= n <= 19:
                 out.append(Span(m.start(), m.end(), "card"))
-            if m[0].count(".") == 3:
-                out.append(Span(m.start(), m.end(), "ip"))
-    if "＠" in text or " @" in text or "@ " in text or re.search(r"(?i)[\[({]\s?at\s?[\])}]|\sdot\s", text):
-        out += [Span(m.start(), m.end(), "email") for m in _SPELT.finditer(text)]
+        out += [Span(m.start(), m.end(), "ip") for m in _PARTS.finditer(text) if all(int(x) < 256 for x in _RUN.findall(m[0]))]
+        if "::" in text or text.count(":") > 4:
+            out += [Span(m.start(), m.end(), "ip") for m in _GROUPS.finditer(text) if _DIGIT.search(m[0])]
+    for m in _AT.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 64), m.start())
+        place = _PLACE.match(text, m.end())
+        if name and place:
+            out.append(Span(name.start(), place.end(), "email"))
     return out
 
 
@@ -128,8 +135,9 @@ def features(text: str, spans: list[Span]) -> np.ndarray:
             int(bool(_CUES[kind].search(before))), int(any(c.search(before) for k, c in _CUES.items() if k != kind)), int(bool(_AGAINST.search(before))),
             int(bool(re.match(r"\s?(?:%|€|\$|kg|km|pages|items)", after))), int(bool(re.search(r"(?i)[\[({]\s?at|＠", s))) + 2 * int(bool(re.search(r"(?i)dot", s))),
             sum(c.isalpha() for c in s) // 4, int(len(groups) == 4 and all(g <= 3 for g in groups)),
+            s.count(":"), int("::" in s), max(map(len, re.split(r"[^0-9A-Za-z]+", s))), int(s.isupper() or s.islower()), int(bool(re.search(r"\s(?:at|AT)\s", s))), int(bool(re.match(r"[A-Za-z]+\b(?![._%+0-9-])", s))), s.count("[") + s.count("{"), s.count(","),
         ])
-    return np.array(rows, np.int64).reshape(len(spans), 23)
+    return np.array(rows, np.int64).reshape(len(spans), 31)
 
 
 def _training(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +156,35 @@ def _training(seed: int) -> tuple[np.ndarray, np.ndarray]:
         return r.choice(["({}) {}-{}", "({}){}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "1-{}-{}-{}", "00{} {} {}"]).format(a, b, c)
 
     def email() -> str:
-        return r.choice(["{} (at) {} (dot) com", "{}[at]{}[dot]org", "{} at {} dot net", "{}＠{}.com", "{} @ {}.org", "{} [at] {}.com"]).format(word() + r.choice(["", d(2), "." + word()]), word())
+        return r.choice(["{} (at) {} (dot) com", "{}[at]{}[dot]org", "{} at {} dot net", "{}＠{}.com", "{} @ {}.org", "{} [at] {}.com", "{} at {}.org"]).format(word() + r.choice(["", d(2), "." + word()]), word())
+
+    def ip() -> str:
+        four = [str(r.randint(0, 255)) for _ in range(4)]
+        eight = [f"{r.getrandbits(16):x}" for _ in range(8)]
+        short = eight[: r.randint(1, 4)], eight[4 : r.randint(5, 8)]
+        return r.choice([lambda: r.choice(["[.]", "(.)", " dot ", "[dot]", "(dot)", " . ", " [.] "]).join(four), lambda: ":".join(eight), lambda: ":".join(short[0]) + "::" + ":".join(short[1])])()
 
     cue = {
         "card": ["card ", "Visa: ", "credit card no. ", "pay with "], "phone": ["call ", "tel. ", "Phone: ", "mobile "],
         "email": ["mail ", "e-mail: ", "write to ", "contact "],
+        "ip": ["ip ", "host ", "address: ", "server at ", "ping "],
     }
     noise = [
         lambda: "order " + d(r.randint(7, 16)), lambda: "invoice no " + d(8) + "-" + d(4), lambda: f"{r.randint(1900, 2030)}-{d(2)}-{d(2)} {d(2)}", lambda: f"{d(2)}/{d(2)}/{r.randint(1900, 2030)}",
         lambda: f"version {d(1)}.{d(2)}.{d(3)}.{d(4)}", lambda: "isbn 978-" + d(1) + "-" + d(4) + "-" + d(4) + "-" + d(1), lambda: "total " + d(3) + " " + d(3) + " " + d(3) + " $", lambda: word() + " " + d(16), lambda: word() + " " + d(r.randint(7, 19)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}",
         lambda: word() + " at " + word() + " dot " + word(), lambda: "look at the red dot on " + word(), lambda: word() + " " + ".".join(d(r.randint(1, 4)) for _ in range(4)), lambda: "ref " + d(4) + " " + d(4) + " " + d(4) + " " + d(4), lambda: word() + " " + d(3) + " " + d(2) + " " + d(4),
+        lambda: "section " + " . ".join(d(1) for _ in range(4)), lambda: word() + " " + ",".join(d(r.randint(1, 2)) for _ in range(4)), lambda: "at " + ":".join(d(2) for _ in range(r.randint(3, 4))), lambda: "mac " + ":".join(f"{r.getrandbits(8):02x}" for _ in range(6)),
+        lambda: "key " + ":".join(f"{r.getrandbits(8):02x}" for _ in range(16)), lambda: word() + " " + d(1) + "::" + word(), lambda: word() + "::" + word() + d(1), lambda: r.choice(["look", "sold", "shown", "hosted", "open", word()]) + " at " + word() + "." + r.choice(["com", "org", "net", "de"]), lambda: word() + " at " + word() + ". " + word().capitalize(),
+        lambda: "@ " + word() + " " + word() + "." + word(), lambda: word() + " @ " + word() + " " + word(),
     ]
     xs, ys = [], []
     while len(ys) < TRAINING:
-        kind = r.choice(["card", "phone", "email", "noise", "noise"])
+        kind = r.choice(["card", "phone", "email", "ip", "noise", "noise", "noise"])
         lead = word() + " " + word() + " "
         if kind == "noise":
             text, gold = lead + r.choice(noise)() + " " + word(), None
         else:
-            value = {"card": card, "phone": phone, "email": email}[kind]()
+            value = {"card": card, "phone": phone, "email": email, "ip": ip}[kind]()
             lead += r.choice(cue[kind]) if r.random() < 0.7 else ""
             text, gold = lead + value + " " + word(), (len(lead), len(lead) + len(value), kind)
         spans = proposals(text)
@@ -192,14 +210,17 @@ def model(seed: int = 7) -> tuple[BoostedTrees, tuple[float, ...]]:
 
 
 def added_spans(text: str, base: list[Span], trees: BoostedTrees, cuts: tuple[float, ...]) -> list[Span]:
-    spans = [s for s in proposals(text) if not any(b.start < s.end and s.start < b.end for b in base)]
+    taken = Cover(base)
+    spans = [s for s in proposals(text) if not taken.meets(s)]
     if not spans:
         return []
-    score = trees.predict(features(text, spans))
+    score = np.concatenate([trees.predict(features(text, spans[i : i + 4096])) for i in range(0, len(spans), 4096)])
     out: list[Span] = []
+    taken = Cover()
     for i in np.argsort(-score, kind="stable"):
         s = spans[i]
-        if score[i] >= cuts[KINDS.index(s.kind)] and not any(o.start < s.end and s.start < o.end for o in out):
+        if score[i] >= cuts[KINDS.index(s.kind)] and not taken.meets(s):
+            taken.add(s)
             out.append(s)
     return out
 
