@@ -101,9 +101,9 @@ def buckets_for(size: int, each: int) -> int:
 
 
 def dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
-    """Rows dealt by a key into a number of partitions that follows the number of its values, four in each."""
+    """Rows dealt by a key into a number of partitions that follows the number of its values."""
     base = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(base, ceil(groups / 4)), key)
+    return rows.repartition(max(base, groups), key)
 
 
 def grouped(rows: DataFrame, key: str, groups: int, run: Callable, shape: str) -> DataFrame:
