@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sifter.llm import _graph, _spans, ann, decontaminate, langid, ngram_join, packing, pii, secrets, sharding, suffix_tree, toxicity
 from sifter.llm._arrays import buffers
 from sifter.llm._io import remainder_of_crc
-from sifter.llm.queries import tokenizer_path
+from sifter.llm.queries import op10_ordinal_toxicity, tokenizer_path
 
 COLUMNS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key STRING, score DOUBLE, block STRING, lang_pred STRING"
 
@@ -516,6 +516,15 @@ def test_fullest_is_the_fullest():
         assert sum(k * n for k, n in got.items()) == max(sums) and all(n <= counts[k] for k, n in got.items())
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Labelled rows that the model has not seen."""
+    sf = "/root/testdata/sf0.1"
+    got = op10_ordinal_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "toxic AS label"), "doc_id").collect()
+    bad, clean = [r for r in got if r["label"]], [r for r in got if not r["label"]]
+    assert len(bad) > 5 and sum(r["toxic"] for r in bad) >= 0.8 * len(bad) and sum(r["toxic"] for r in clean) <= 0.03 * len(clean)
+    assert np.mean([r["severity"] for r in bad]) > 1 + np.mean([r["severity"] for r in clean])
+
+
 def test_toxicity(spark, empty):
     r = random.Random(6)
     words = ["".join(r.choice("bcdfgaeiou") for _ in range(5)) for _ in range(200)]
@@ -535,5 +544,10 @@ def test_toxicity(spark, empty):
     many = [got[i]["severity"] for i, t, b in rows if b and sum(w in t for w in ("vilest", "nastyish", "rotten")) >= 3]
     one = [got[i]["severity"] for i, t, b in rows if b and sum(t.split().count(w) for w in ("vilest", "nastyish", "rotten")) == 1]
     assert np.mean(many) > np.mean(one)
+    clash = table.withColumns({"toxic": F.lit("x"), "fold": F.lit(9), "times": F.lit(9), "names": F.lit(0), "severity": F.lit("s")})
+    again = {x["doc_id"]: x["severity"] for x in toxicity.predict(clash, toxicity.train(clash.union(clash), labels.withColumn("text", F.lit("t")))).collect()}
+    assert all(again[k] == pytest.approx(x["severity"]) for k, x in got.items())
+    long = spark.createDataFrame([(1, "word " * 300_000 + "vilest"), (1, "x"), (2, "rotten " * 100_000)], "doc_id BIGINT, text STRING")
+    assert [x["toxic"] for x in toxicity.predict(long, toxicity.train(table, labels)).orderBy("doc_id", F.desc("p_toxic")).collect()][2]
     assert toxicity.predict(empty, toxicity.train(empty, labels.limit(0))).count() == 0
     assert toxicity.predict(table, toxicity.train(table, labels.limit(0))).where("toxic OR severity > 0").count() == 0
