@@ -1,6 +1,6 @@
 """Texts in blocks of bounded size, and counts that blocks and buckets send each other.
 
-A block is one row of a stored table: ids, flags and compressed texts that stood together in the input. Blocks have one size
+A block is a few rows of a stored table: ids, flags and compressed texts that stood together in the input. Blocks have one size
 whatever the ids are, so repeated and null ids make none of them larger, and passes over the texts read the table instead of
 shuffling texts. A block sends what it has to buckets by hash; a bucket answers in the order that it was asked in, without keys,
 as a block finds the same order again. A block sends no message to a bucket that it has nothing for.
@@ -22,6 +22,10 @@ from ._arrays import buffers, column
 from ._io import stored
 
 
+#: Text of a row of a block table.
+PART_BYTES = 1 << 20
+
+
 def packed_bytes(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
 
@@ -43,45 +47,55 @@ def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
 
 
 def text_blocks(docs: DataFrame, size: int, *keep: str) -> DataFrame:
-    """A stored table of block, one array for each kept column, texts and offsets; ``docs`` has those columns and text."""
+    """A stored table of block, part, one array for each kept column, texts and offsets; ``docs`` has those columns and text. The
+    parts of a block are rows of about PART_BYTES of text or of one longer text, as whole blocks would be large values."""
     lists = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, rows, parts = TaskContext.get().partitionId() << 33, 0, [], []
+        number, part, held, waiting, rows, texts = TaskContext.get().partitionId() << 33, 0, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held, rows, parts
-            of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]).astype(np.int64)
-            flat = np.concatenate([x for x, _ in parts])
-            out = [pa.array([number], pa.int64())]
+            nonlocal number, part, held, waiting, rows, texts
+            of = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in texts]))]).astype(np.int64)
+            out = [pa.array([number], pa.int64()), pa.array([part], pa.int32())]
             for i in range(len(keep)):
                 whole = pa.concat_arrays([r[i] for r in rows])
                 out.append(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole))
-            out += [pa.array([packed_bytes(flat)], pa.binary()), pa.array([packed_bytes(of)], pa.binary())]
-            number, held, rows, parts = number + 1, 0, [], []
-            return pa.RecordBatch.from_arrays(out, ["block", *keep, "texts", "offsets"])
+            out += [pa.array([packed_bytes(np.concatenate([x for x, _ in texts]))], pa.binary()), pa.array([packed_bytes(of)], pa.binary())]
+            held, waiting, part, rows, texts = held + waiting, 0, part + 1, [], []
+            if held >= size:
+                number, part, held = number + 1, 0, 0
+            return pa.RecordBatch.from_arrays(out, ["block", "part", *keep, "texts", "offsets"])
 
         for b in batches:
             flat, offsets = buffers(column(b, "text"))
             i = 0
             while i < len(b):
-                j = min(len(b), max(i + 1, int(np.searchsorted(offsets, offsets[i] + size - held, side="right")) - 1))
-                parts.append((flat[offsets[i] : offsets[j]], offsets[i : j + 1]))
+                j = min(len(b), max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART_BYTES - waiting, side="right")) - 1))
+                texts.append((flat[offsets[i] : offsets[j]], offsets[i : j + 1]))
                 rows.append([column(b, c).slice(i, j - i) for c in keep])
-                held += int(offsets[j] - offsets[i])
+                waiting += int(offsets[j] - offsets[i])
                 i = j
-                if held >= size or i < len(b):
+                if waiting >= PART_BYTES or i < len(b):
                     yield flush()
         if rows:
             yield flush()
 
     kinds = ", ".join(f"`{f.name}` ARRAY<{f.dataType.simpleString()}>" for f in lists)
-    return stored(docs.select(*keep, "text").mapInArrow(run, f"block BIGINT, {kinds}, texts BINARY, offsets BINARY"))
+    return stored(docs.select(*keep, "text").mapInArrow(run, f"block BIGINT, part INT, {kinds}, texts BINARY, offsets BINARY"))
+
+
+def block_of(table: pa.Table) -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
+    """Of the parts of one block: its number, the parts in order, and the flat bytes and offsets of its texts."""
+    table = table.take(np.argsort(table.column("part").to_numpy()))
+    texts = [unpacked(x.as_py(), np.uint8) for x in table.column("texts")]
+    sizes = [np.diff(unpacked(x.as_py(), np.int64)) for x in table.column("offsets")]
+    return table.column("block")[0].as_py(), table, np.concatenate(texts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def texts_of(block: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Flat bytes and offsets of one row of a block table."""
-    return unpacked(block["texts"], np.uint8), unpacked(block["offsets"], np.int64)
+def listed(table: pa.Table, name: str) -> pa.Array:
+    """The values of a kept column, in order."""
+    return pa.concat_arrays([x.flatten() for x in table.column(name).chunks])
 
 
 def text_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import gram_hashes, hash_words, mix
-from ._blocks import block_size, buckets_for, dealt, grouped, packed_bytes, packed_counts, size_of, text_array, text_blocks, texts_of, unpacked, unpacked_counts
+from ._blocks import block_of, block_size, buckets_for, dealt, grouped, listed, packed_bytes, packed_counts, size_of, text_array, text_blocks, unpacked, unpacked_counts
 from ._graph import components, spread_join
 from ._io import dropped, stored
 
 #: Text of a block, and text whose shingles fill a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 #: Sets of one neighbourhood that a task holds on either side.
 CHUNK = 2048
 #: Positions (ranks by size) in a block of an index list.
@@ -72,16 +72,15 @@ def _even(hashes: np.ndarray) -> np.ndarray:
 def _block_prints(k: int, buckets: int):
     """The distinct prints of each block with the number of its documents that have them, by bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_prints(_even(s), buckets) for s in shingle_sets(text_array(*texts_of(row)), k))]), return_counts=True)
-                cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                used = np.flatnonzero(np.diff(cut)).tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["block"]] * len(used), pa.int64()), pa.array(used, pa.int64()), pa.array([int(cut[b + 1] - cut[b]) for b in used], pa.int64()),
-                    pa.array([packed_bytes((keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4")) for b in used], pa.binary()), pa.array([packed_counts(counts[cut[b] : cut[b + 1]]) for b in used], pa.binary()),
-                ], ["block", "bucket", "n", "prints", "counts"])
+    def run(table: pa.Table) -> pa.Table:
+        block, _, *texts = block_of(table)
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_prints(_even(s), buckets) for s in shingle_sets(text_array(*texts), k))]), return_counts=True)
+        cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+        used = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.table({
+            "block": pa.array([block] * len(used), pa.int64()), "bucket": pa.array(used, pa.int64()), "n": pa.array([int(cut[b + 1] - cut[b]) for b in used], pa.int64()),
+            "prints": pa.array([packed_bytes((keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4")) for b in used], pa.binary()), "counts": pa.array([packed_counts(counts[cut[b] : cut[b + 1]]) for b in used], pa.binary()),
+        })
 
     return run
 
@@ -106,7 +105,8 @@ def _block_sets(k: int, percent: int, buckets: int):
     names = ["doc_id", "n", "key", "shared", "keys", "hashes"]
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
-        sets = list(shingle_sets(text_array(*texts_of(block.select(["texts", "offsets"]).to_pylist()[0])), k))
+        _, block, *texts = block_of(block)
+        sets = list(shingle_sets(text_array(*texts), k))
         known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_prints(_even(s), buckets) for s in sets)]))
         often = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(r["counts"], r["n"]) for r in sorted(told.to_pylist(), key=lambda r: r["bucket"]))])
         size, key, linked, keys, hashes, seen = [], [], [], [], [], set()
@@ -130,7 +130,7 @@ def _block_sets(k: int, percent: int, buckets: int):
                 rest = np.concatenate([rest, own[own & np.uint64(1) == 1][: prefix - alone - len(rest)]])
             keys.append(rest.astype(np.int64))
             hashes.append(own.tobytes())
-        arrays = [block.column("doc_id").combine_chunks().flatten(), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
+        arrays = [listed(block, "doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
         return pa.Table.from_arrays(arrays, names)
 
     return run
@@ -235,9 +235,10 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     each = block_size(docs.sparkSession, size, BLOCK_BYTES)
     groups, buckets = buckets_for(size, each), buckets_for(size, BUCKET_BYTES)
     blocks = text_blocks(docs, each, "doc_id")
-    prints = blocks.select("block", "texts", "offsets").mapInArrow(_block_prints(k, buckets), "block BIGINT, bucket BIGINT, n BIGINT, prints BINARY, counts BINARY")
+    texts = dealt(blocks, "block", groups)
+    prints = texts.select("block", "part", "texts", "offsets").groupBy("block").applyInArrow(_block_prints(k, buckets), "block BIGINT, bucket BIGINT, n BIGINT, prints BINARY, counts BINARY")
     told = grouped(prints, "bucket", buckets, _print_totals, "block BIGINT, bucket BIGINT, n BIGINT, counts BINARY")
-    all_sets = dealt(blocks, "block", groups).groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(_block_sets(k, percent, buckets), f"doc_id {kind}, n BIGINT, key BINARY, shared BOOLEAN, keys ARRAY<BIGINT>, hashes BINARY")
+    all_sets = texts.groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(_block_sets(k, percent, buckets), f"doc_id {kind}, n BIGINT, key BINARY, shared BOOLEAN, keys ARRAY<BIGINT>, hashes BINARY")
     rows = stored(all_sets)
     dropped(blocks)
 
