@@ -37,11 +37,16 @@ ENGLISH_MARKERS = (
     "the", "an", "is", "are", "was", "were", "been", "being", "has", "have", "had", "would", "could", "should", "might", "must",
     "because", "although", "however", "therefore", "very", "more", "most", "some", "any", "each", "every", "both", "also", "only", "just", "really",
 )
-STRONG_PROSE = "|".join(CJK_MARKERS)
-PROSE = STRONG_PROSE + "|{L}(?:" + "|".join(ENGLISH_MARKERS) + ")(?:{R})" + r"|\.{W}+|!{W}+|\?{W}+"
+#: The same markers, looked for behind one test of the character: all of them are of East Asian blocks, and few characters are.
+STRONG_PROSE = r"(?=[\x{2E80}-\x{FFFF}])(?:" + "|".join(CJK_MARKERS) + ")"
+STRONG_PROSE_RE2 = "|".join(CJK_MARKERS)
+PROSE = STRONG_PROSE + "|{L}(?=[a-z])(?:" + "|".join(ENGLISH_MARKERS) + ")(?:{R})" + r"|[.!?]{W}+"
+PROSE_RE2 = STRONG_PROSE_RE2 + "|{L}(?:" + "|".join(ENGLISH_MARKERS) + ")(?:{R})" + r"|\.{W}+|!{W}+|\?{W}+"
 TAG = r"</?[a-zA-Z][a-zA-Z0-9]*(?:{W}[^>]*)?/?>"
 TAG_START = r"</?[a-zA-Z]"
 SYMBOLS = r"[{};]"
+#: What a line that isn't blank and isn't a list, quotation or numbered line looks like.
+PLAIN_LINE = r"^{W}*+(?!(?:[-*+](?:{W}|[^-*+{C}])|>{W}?|[0-9]+[.)]{W})){N}"
 LIST_LINE = r"^(?:[-*+](?:{W}|[^-*+{C}])|>{W}?|[0-9]+[.)]{W})"
 CONTROL_CLASSIFIER = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 CONTROL_DIGEST = r"[\x00-\x08\x0E-\x1F]"

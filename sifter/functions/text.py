@@ -9,20 +9,16 @@ from . import patterns as P
 from .patterns import jvm
 
 
-def fenced(value: Column) -> Column:
-    """The value itself. Being formally nondeterministic, it keeps the optimizer from copying a long expression into every filter,
-    join condition and inferred constraint above it, where nested copies would multiply."""
-    return F.when(F.rand(0) >= 0, value)
-
-
-def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """A step of a longer computation as a column of its own, fenced."""
-    return df.withColumn(name, fenced(value))
+def staged(df: DataFrame, **values: Column) -> DataFrame:
+    """Steps of a longer computation as columns of their own. They pass through a generator of one row, which no rule of the optimizer
+    looks behind: filters, joins and projections above read the value and never get a copy of the expression. The names must be new."""
+    made = df.withColumn("_staged", F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))))
+    return made.select(*df.columns, *(F.col(f"_staged.{k}").alias(k) for k in values))
 
 
 def units(text: Column) -> Column:
-    """Length in UTF-16 units."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 units; of ASCII text its length in bytes."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
 
 
 def lines(text: Column) -> Column:
@@ -46,7 +42,7 @@ def trim_start(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.length(trim(text)) == 0
+    return ~F.regexp_like(text, F.lit(jvm("{N}")))
 
 
 def without_ansi(text: Column) -> Column:
@@ -62,15 +58,20 @@ def with_strip(df: DataFrame, out: str, text: str = "text", minimum: int = P.STR
     """Adds ``out``: struct(text, method); terminal codes, runs of inline white space and trailing spaces are removed. A step
     counts in the method when it changed the length, so replacing a tab by a space goes unnamed."""
     t, a, b, c = F.col(text), F.col("_f1"), F.col("_f2"), F.col("_f3")
-    df = staged(df, "_f1", without_ansi(t) if ansi else t)
-    df = staged(df, "_f2", F.regexp_replace(a, P.INLINE_SPACE, " ") if inline else a)
-    df = staged(df, "_f3", F.regexp_replace(b, "(?md) +$", "") if trailing else b)
+    df = staged(df, _f1=without_ansi(t) if ansi else t)
+    df = staged(df, _f2=F.regexp_replace(a, P.INLINE_SPACE, " ") if inline else a)
+    df = staged(df, _f3=F.regexp_replace(b, "(?md) +$", "") if trailing else b)
     changed = lambda x, y, name: F.when(F.length(x) != F.length(y), name)
-    df = staged(df, "_f4", F.concat_ws("+", changed(t, a, "ansi"), changed(a, b, "inline-ws"), changed(b, c, "trailing-ws")))
+    df = staged(df, _f4=F.concat_ws("+", changed(t, a, "ansi"), changed(a, b, "inline-ws"), changed(b, c, "trailing-ws")), _f5=units(t) < minimum)
     method = F.concat(F.lit("format-strip:"), F.when(F.col("_f4") == "", "noop").otherwise(F.col("_f4")))
-    short = units(t) < minimum
+    short = F.col("_f5")
     done = F.struct(F.when(short, t).otherwise(c).alias("text"), F.when(short, "format-strip:noop").otherwise(method).alias("method"))
-    return staged(df, out, done).drop("_f1", "_f2", "_f3", "_f4")
+    return staged(df.drop(out), **{out: done}).drop("_f1", "_f2", "_f3", "_f4", "_f5")
+
+
+def format_restore(text: Column) -> Column:
+    """What undoes a format strip: nothing, as texts need only be equal but for white space and terminal codes."""
+    return text
 
 
 def handle(prefix: str, content: Column) -> Column:
@@ -121,8 +122,10 @@ def binary_for_digest(text: Column) -> Column:
     return F.when(bad > 0.05 * F.length(head), True).when(bad > 100, running).otherwise(False)
 
 
-def symbol_ratio(text: Column) -> Column:
-    return F.when(units(text) > 0, count(text, P.SYMBOLS) / units(text)).otherwise(F.lit(0.0))
+def symbol_ratio(text: Column, size: Column | None = None) -> Column:
+    size = units(text) if size is None else size
+    marks = F.length(text) - F.length(F.translate(text, "{};", ""))
+    return F.when(size > 0, marks / size).otherwise(F.lit(0.0))
 
 
 def markup(text: Column) -> Column:

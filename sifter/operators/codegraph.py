@@ -89,6 +89,21 @@ def edges(files: DataFrame, originals: DataFrame, as_of: bool = False) -> DataFr
     return made.unionByName(brought)
 
 
+def indexed(originals: DataFrame, symbols_before: DataFrame, refs_before: DataFrame, handles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The code tables after indexing: originals in a known language are parsed and their rows replaced; running it twice changes nothing
+    more. With ``handles`` (a column handle) only those, and only where no symbol of theirs is stored yet: indexing on demand, in which a
+    file without a symbol is read again each time."""
+    todo = originals
+    if handles is not None:
+        todo = originals.join(handles.select("handle").distinct(), "handle", "left_semi").join(symbols_before.select("handle").distinct(), "handle", "left_anti")
+    files = parsed(todo)
+    done = files.select("handle")
+    new_symbols, new_refs = symbols(files), edges(files, originals)
+    kept_symbols = symbols_before.join(done, "handle", "left_anti").select(*new_symbols.columns)
+    kept_refs = refs_before.join(done.withColumnRenamed("handle", "from_handle"), "from_handle", "left_anti").select(*new_refs.columns)
+    return kept_symbols.unionByName(new_symbols), kept_refs.unionByName(new_refs)
+
+
 def find_symbol(table: DataFrame, handle: str, symbol: str) -> DataFrame:
     """The first definition of exactly this name, else all whose name contains it; a percent sign or underscore is a wildcard."""
     own = table.where(F.col("handle") == handle)

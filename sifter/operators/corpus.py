@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.paths import dotted_extension, extension, keywords
-from ..functions.text import blank, units
+from ..functions.text import blank, percent, units
 
 DECISION = (
     "path STRING, ext STRING, filename STRING, nameKeywords ARRAY<STRING>, size BIGINT, type STRING, confidence DOUBLE, signals ARRAY<STRING>, tool STRING, ts BIGINT"
@@ -32,6 +33,12 @@ def read_decisions(lines: DataFrame) -> DataFrame:
     return parsed.where(F.col("r.type").isNotNull()).select("r.*")
 
 
+def line_total(lines: DataFrame) -> DataFrame:
+    """One row: the lines of a decision log that aren't empty, malformed ones among them, and the records that can be read."""
+    full = lines.where(F.length("value") > 0)
+    return full.agg(F.count("*").alias("total"), F.count(F.from_json("value", DECISION)["type"]).alias("records"))
+
+
 def by_extension(rows: DataFrame) -> DataFrame:
     ext = F.when(F.coalesce(F.col("ext"), F.lit("")) == "", "(none)").otherwise(F.col("ext"))
     return rows.groupBy(ext.alias("ext"), "type").agg(F.count("*").alias("n"))
@@ -63,6 +70,48 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "type").agg(F.count("*").alias("n"))
 
 
+def observed(rows: DataFrame) -> DataFrame:
+    """How files of the loose bucket (Markdown, HTML) are called: counts of (ext, type), by extension and then the commonest first."""
+    own = rows.where(F.col("bucket") == "observe")
+    return own.groupBy(extension(F.col("path")).alias("ext"), "type").agg(F.count("*").alias("n")).orderBy("ext", F.desc("n"), "type")
+
+
+def samples(rows: DataFrame, wrong: Column, limit: int = 20) -> DataFrame:
+    """The first rows, by path and place in it, that a condition holds for, with 80 characters of their text."""
+    return rows.where(wrong).orderBy("path", "n").limit(limit).select("path", "n", F.col("r.type").alias("type"), F.col("r.confidence").alias("confidence"), F.col("r.signals").alias("signals"), F.substring("text", 1, 80).alias("snippet"))
+
+
+def commonest(rows: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """Counts by key, the greatest first, then by key."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
+    return out if limit is None else out.limit(limit)
+
+
+def ordered_by_key(rows: DataFrame) -> DataFrame:
+    """Counts of (keywords, type) in the order of the keywords."""
+    return by_keywords(rows).orderBy("keywords", "type")
+
+
+def evaluation(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The evaluation report as rows (section, key, type, n, share): buckets, the structured bucket against its types, the observe bucket by
+    extension, and Markdown blocks taken for structured. files: path, bucket, type; blocks: type."""
+    row = lambda df, section, key, kind, share: df.select(F.lit(section).alias("section"), key.alias("key"), kind.alias("type"), F.col("n"), share.alias("share"))
+    none, total = F.lit(None).cast("string"), F.sum("n").over(W.partitionBy("ext"))
+    buckets = files.groupBy("bucket").agg(F.count("*").alias("n"))
+    strict = files.where("bucket = 'structured'").groupBy("type").agg(F.count("*").alias("n")).withColumn("ext", F.lit("structured"))
+    prose = misjudged_prose(blocks)
+    return (
+        row(buckets, "bucket", F.col("bucket"), none, F.lit(None).cast("double")).unionByName(row(strict, "confusion", F.col("ext"), F.col("type"), percent(F.col("n"), total)))
+        .unionByName(row(observed(files), "observe", F.col("ext"), F.col("type"), percent(F.col("n"), total)))
+        .unionByName(prose.select(F.lit("prose").alias("section"), F.lit("blocks").alias("key"), F.lit("structured").alias("type"), F.col("wrong").alias("n"), percent(F.col("wrong"), F.col("blocks")).alias("share")))
+    )
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON, a line a row."""
+    rows.coalesce(1).write.mode("overwrite").json(path)  # a report has few rows
+
+
 def prose_blocks(markdown: str | None) -> list[str]:
     """Paragraphs of running text: front matter, code, HTML, tables, headings, images and lists part them; blocks of
     under 120 units and what follows an open fence are dropped."""
@@ -102,8 +151,8 @@ def prose_blocks_column(markdown: str | None) -> list[str]:
 
 
 def misjudged_prose(rows: DataFrame) -> DataFrame:
-    """Blocks, those not called prose, and their share, of rows with a column type; zero for no blocks."""
-    wrong = F.count_if(F.col("type") != "prose")
+    """Blocks, those taken for structured, and their share, of rows with a column type; zero for no blocks."""
+    wrong = F.count_if(F.col("type") == "structured")
     return rows.agg(F.count("*").alias("blocks"), wrong.alias("wrong"), F.coalesce(F.try_divide(wrong.cast("double"), F.count("*")), F.lit(0.0)).alias("rate"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,27 +74,27 @@ def leaves(events: DataFrame) -> DataFrame:
 def compressed_leaves(events: DataFrame, minimum: int = P.HOOK_MIN) -> DataFrame:
     """The long structured leaves with their compression. Prose, mixed and short leaves don't appear, so they stay as they are."""
     long = leaves(events).where(units(F.col("text")) >= minimum)
-    # Both steps feed several tables, and their long expressions shouldn't be planned into the filters that follow.
-    judged = with_class(long, "result").persist(StorageLevel.DISK_ONLY)
-    kept = with_compression(judged.where("result.type = 'structured'"), "text", "c").persist(StorageLevel.DISK_ONLY).where("c.compressed")
+    kept = with_compression(with_class(long, "result").where("result.type = 'structured'"), "text", "c").where("c.compressed")
     name = handle("orig", F.col("text"))
     code = language(extension(F.col("path"))).isNotNull()
     emitted = F.concat(F.col("c.text"), note(name, F.size(lines(F.col("text"))), F.col("path"), F.coalesce(code, F.lit(False))))
     return kept.withColumn("handle", name).withColumn("emitted", emitted)
 
 
-def rewritten(events: DataFrame, minimum: int = P.HOOK_MIN) -> DataFrame:
-    """event_id and output of the events that change: the hook's answer with the new response."""
-    new = compressed_leaves(events, minimum).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("at", "emitted"))).alias("n"))
+def rewritten(events: DataFrame, minimum: int = P.HOOK_MIN, rows: DataFrame | None = None) -> DataFrame:
+    """event_id and output of the events that change: the hook's answer with the new response. rows: their compressed leaves, where a
+    caller has them already."""
+    new = (compressed_leaves(events, minimum) if rows is None else rows).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("at", "emitted"))).alias("n"))
     joined = events.join(new, "event_id")
     response = _put_back("value", F.col("n.at"), F.col("n.emitted"))
     out = F.concat(F.lit('{"hookSpecificOutput":{"hookEventName":"PostToolUse","updatedToolOutput":'), response, F.lit("}}"))
     return joined.select("event_id", out.alias("output"))
 
 
-def tables(events: DataFrame, now_ms: int, minimum: int = P.HOOK_MIN) -> dict[str, DataFrame]:
-    """What ingestion stores: originals and snippets (so that every handle in an emitted text resolves) and metric rows."""
-    rows = compressed_leaves(events, minimum)
+def tables(events: DataFrame, now_ms: int, minimum: int = P.HOOK_MIN, rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What ingestion stores: originals and snippets (so that every handle in an emitted text resolves) and metric rows. Rows of one
+    handle are one row when their contents are equal too; texts that share a handle by chance are both kept."""
+    rows = compressed_leaves(events, minimum) if rows is None else rows
     base = rows.select("handle", F.col("text").alias("content"), F.lit(False).alias("compressed"), units(F.col("text")).cast("long").alias("size"), F.col("path").alias("source"), "tool", F.lit(now_ms).alias("created_at"))
     cut = rows.select(F.explode("c.snippets").alias("s"), "path", "tool").select(
         "s.handle", "s.content", F.lit(False).alias("compressed"), units(F.col("s.content")).cast("long").alias("size"), F.col("path").alias("source"), "tool", F.lit(now_ms).alias("created_at")
@@ -104,4 +103,4 @@ def tables(events: DataFrame, now_ms: int, minimum: int = P.HOOK_MIN) -> dict[st
         "handle", F.col("path").alias("source"), "tool", F.col("result.type").alias("content_type"), F.col("c.original_size").cast("long").alias("original_size"), F.col("c.compressed_size").cast("long").alias("compressed_size"),
         F.concat_ws(",", "c.steps").alias("method"), "session_id", F.lit(now_ms).alias("created_at"),
     )
-    return {"originals": base.unionByName(cut).dropDuplicates(["handle"]), "metrics": metric}
+    return {"originals": base.unionByName(cut).withColumn("_same", F.sha2("content", 256)).dropDuplicates(["handle", "_same"]).drop("_same"), "metrics": metric}

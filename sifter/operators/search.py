@@ -1,58 +1,88 @@
-"""Keyword search with BM25 over chunks. Statistics are global over all handles; the handle only filters the result."""
+"""Keyword search with BM25 over chunks. Statistics are global over all handles; the handle only filters the result.
+
+Texts and queries are folded by one rule: decomposed, marks removed, lower case. Words are runs of letters and digits; scripts without
+spaces aren't cut into characters.
+"""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fenced
+from ..functions.text import staged
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
-#: Accented letters of the Latin-1 block and the letters they fold to; fixed values.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def folded(text: str) -> str:
+    """Without marks, lower case; what is left is composed, so that syllables stay whole."""
+    plain = unicodedata.normalize("NFD", text)
+    return unicodedata.normalize("NFC", "".join(c for c in plain if unicodedata.category(c)[0] != "M")).lower()
+
+
+@cache
+def folds() -> tuple[str, str]:
+    """The characters that fold to one other character, and what they fold to, by the rule above; characters that have a
+    decomposition of their own, so a text that is composed or not folds alike."""
+    pairs = [(chr(i), folded(chr(i))) for i in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(i)) and not unicodedata.decomposition(chr(i)).startswith("<") and unicodedata.category(chr(i))[0] == "L"]
+    one = [(a, b) for a, b in pairs if len(b) == 1 and a.lower() != b]
+    return "".join(a for a, _ in one), "".join(b for _, b in one)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower case, Latin accents removed. Scripts without spaces aren't cut into characters."""
-    return F.regexp_extract_all(F.translate(F.lower(text), _ACCENTED, _PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    """The words of a text, folded."""
+    bare = F.regexp_replace(text, r"\p{M}+", "")
+    plain = F.lower(F.when(F.octet_length(bare) == F.length(bare), bare).otherwise(F.translate(bare, *folds())))
+    return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
 def phrases(query: str) -> list[list[str]]:
     """Every word of the query is a phrase of its tokens, and all phrases must match; words without a token drop out."""
     out = []
     for word in query.split():
-        plain = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn").lower()
-        own = [m for m in re.findall(r"[^\W_]+", plain)]
+        own = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in folded(word)).split()
         if own:
             out.append(own)
     return out
 
 
-def _times(terms: Column, phrase: list[str]) -> Column:
-    """How often the phrase stands in the array of terms."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0]))
-    wanted = F.array(*map(F.lit, phrase))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - len(phrase) + 1, F.lit(1)))
-    return F.when(F.size(terms) < len(phrase), 0).otherwise(F.size(F.filter(starts, lambda i: F.slice(terms, i, F.lit(len(phrase))) == wanted)))
+def _times(places: Column, phrase: list[str]) -> Column:
+    """How often the phrase stands in the text, from the places (place, word) of the wanted words in it."""
+
+    def starts(i: int) -> Column:
+        return F.transform(F.filter(places, lambda x: x["word"] == phrase[i]), lambda x: x["place"] - i)
+
+    out = starts(0)
+    for i in range(1, len(phrase)):
+        out = F.array_intersect(out, starts(i))
+    return F.size(out)
+
+
+def postings(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """handle, line_no, dl (words in the chunk) and the places of the wanted words. A chunk is cut into words once and its words are
+    counted where it is."""
+    word = F.col("word")
+    rows = chunks.select("handle", "line_no", F.posexplode_outer(tokens(F.col("content"))).alias("place", "word"))
+    return rows.groupBy("handle", "line_no").agg(F.count("word").alias("dl"), F.collect_list(F.when(word.isin(*words), F.struct("place", "word"))).alias("places"))
 
 
-def search(chunks: DataFrame, query: str, handle: str | None = None, limit: int = 10) -> DataFrame:
-    """handle, line_no, content and rank (less is better) of the chunks that hold all phrases, best first.
+def search(chunks: DataFrame, query: str, handle: str | None = None, limit: int | None = 10) -> DataFrame:
+    """handle, line_no, content and rank (less is better) of the chunks that hold all phrases, best first; all of them without a limit.
 
-    One pass counts documents, lengths and each phrase; the totals are a single row.
+    chunks have one row for each handle and line_no. One pass counts; the totals are a single row, and only the best chunks are
+    joined with their contents.
     """
     wanted = phrases(query)
     if not wanted:
         return chunks.select("handle", "line_no", "content", F.lit(0.0).alias("rank")).limit(0)
-    counted = chunks.select("handle", "line_no", "content", fenced(tokens(F.col("content"))).alias("terms")).select(
-        "handle", "line_no", "content", F.size("terms").alias("dl"), *(_times(F.col("terms"), p).alias(f"tf{i}") for i, p in enumerate(wanted))
-    )
+    counted = postings(chunks, sorted({w for p in wanted for w in p})).select("handle", "line_no", "dl", *(_times(F.col("places"), p).alias(f"tf{i}") for i, p in enumerate(wanted)))
+    counted = staged(counted.select("handle", "line_no", "dl", F.struct(*(F.col(f"tf{i}") for i in range(len(wanted)))).alias("tf")), _t=F.col("tf")).select("handle", "line_no", "dl", "_t.*")
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(wanted))))
     score = F.lit(0.0)
     for i in range(len(wanted)):
@@ -63,4 +93,9 @@ def search(chunks: DataFrame, query: str, handle: str | None = None, limit: int
     for i in range(len(wanted)):
         hit = hit & (F.col(f"tf{i}") > 0)
     found = counted.where(hit if handle is None else hit & (F.col("handle") == handle))
-    return found.join(F.broadcast(totals)).select("handle", "line_no", "content", (-score).alias("rank")).orderBy("rank", "handle", "line_no").limit(limit)
+    best = found.join(F.broadcast(totals)).select("handle", "line_no", (-score).alias("rank"))
+    if limit is not None:
+        best = best.orderBy("rank", "handle", "line_no").limit(limit)
+    own = chunks.where(F.col("handle") == handle) if handle is not None else chunks
+    out = own.select("handle", "line_no", "content").join(best, ["handle", "line_no"]).select("handle", "line_no", "content", "rank")
+    return out if limit is None else out.orderBy("rank", "handle", "line_no")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import blank, line_range, lines, original_handle, units
+from ..functions.text import blank, line_range, lines, original_handle, staged, units
 
 ORIGINALS = "handle STRING, content STRING, compressed BOOLEAN, size BIGINT, source STRING, tool STRING, created_at BIGINT"
 CHUNKS = "handle STRING, line_no INT, content STRING"
@@ -52,16 +52,27 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def chunks(originals: DataFrame, size: int = P.CHUNK_LINES) -> DataFrame:
     """handle, line_no (1-based, of the first line) and content of each stretch of lines that isn't blank."""
-    parts = lines(F.col("content"))
+    parts = F.col("_lines")
     starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(size))
     cut = F.transform(starts, lambda i: F.struct((i + 1).alias("line_no"), F.array_join(F.slice(parts, i + 1, F.lit(size)), "\n").alias("content")))
-    return originals.select("handle", F.explode(cut).alias("c")).select("handle", "c.line_no", "c.content").where(~blank(F.col("content")))
+    rows = staged(originals.select("handle", "content"), _lines=lines(F.col("content")))
+    return rows.select("handle", F.explode(cut).alias("c")).select("handle", "c.line_no", "c.content").where(~blank(F.col("content")))
 
 
 def original(originals: DataFrame, name: str) -> DataFrame:
     return originals.where(F.col("handle") == name)
 
 
+def has_symbols(symbols: DataFrame, name: str) -> bool:
+    """Whether any symbol of the handle is stored."""
+    return not symbols.where(F.col("handle") == name).select(F.lit(1)).limit(1).isEmpty()
+
+
+def symbols_of(symbols: DataFrame, name: str) -> DataFrame:
+    """The symbols of a handle from the top of the file on."""
+    return symbols.where(F.col("handle") == name).orderBy("start_line", "end_line", "name")
+
+
 def get_lines(originals: DataFrame, name: str, start: int, number: int) -> DataFrame:
     """handle and text of a range of lines."""
     return original(originals, name).select("handle", line_range(F.col("content"), F.lit(start), F.lit(number)).alias("text"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that several reports read, as ingestion would leave it: written when first asked for, then read. It lies in the shared
+    folder (spark.checkpoint.dir) or, in local mode without one, in a local one that goes when the process ends."""
+    context = spark.sparkContext
+    kept = context.__dict__.setdefault("_sifter_tables", {})
+    if (sf_dir, name) not in kept:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="sifter-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        path = f"{base}/sifter-{context.applicationId}/{name}-{uuid.uuid4().hex}"
+        df = make(spark, sf_dir)
+        df.write.parquet(path)
+        kept[sf_dir, name] = (path, df.schema)
+    path, schema = kept[sf_dir, name]
+    return spark.read.schema(schema).parquet(path)
+
+
 def _joined(line: Column, order: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
 
@@ -35,12 +60,12 @@ def logs_sql(colour: bool = True, props: bool = False) -> str:
 
 
 def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of each source, one after another."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(_joined(F.col("text"), "doc_id").alias("text"), F.max("doc_id").alias("seq"))
-    return rows.select(F.concat(F.lit("src-"), F.col("source")).alias("key"), F.lit(None).cast("string").alias("path"), F.lit("Read").alias("tool"), F.col("source").alias("session"), "seq", "text")
+    """Originals of a few dozen documents of one source each: those of 500 ids in a row."""
+    rows = table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 500").alias("n")).agg(_joined(F.col("text"), "doc_id").alias("text"), F.max("doc_id").alias("seq"))
+    return rows.select(F.concat(F.lit("src-"), F.col("source"), F.lit("-"), F.col("n")).alias("key"), F.lit(None).cast("string").alias("path"), F.lit("Read").alias("tool"), F.col("source").alias("session"), "seq", "text")
 
 
-LONG_SQL = "SELECT 'src-' || source AS key, CAST(NULL AS VARCHAR) AS path, 'Read' AS tool, source AS session, max(doc_id) AS seq, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source"
+LONG_SQL = "SELECT 'src-' || source || '-' || (doc_id // 500) AS key, CAST(NULL AS VARCHAR) AS path, 'Read' AS tool, source AS session, max(doc_id) AS seq, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source, doc_id // 500"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +85,16 @@ def pages_sql(with_path: bool = True) -> str:
     return f"SELECT 'page-' || page_id AS key, {'url' if with_path else 'CAST(NULL AS VARCHAR)'} AS path, 'Read' AS tool, CAST(NULL AS VARCHAR) AS session, page_id AS seq, html AS text FROM pages"
 
 
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of a user's events as one JSON list."""
+    rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND props IS NOT NULL").groupBy("user_id").agg(_joined(F.col("props"), "event_id").alias("text"), F.max("event_id").alias("seq"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.concat(F.lit("json-"), F.col("user_id")).alias("key"), none.alias("path"), none.alias("tool"), none.alias("session"), "seq", F.concat(F.lit("["), F.replace("text", F.lit("\n"), F.lit(",")), F.lit("]")).alias("text"))
+
+
+JSON_SQL = "SELECT 'json-' || user_id AS key, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS tool, CAST(NULL AS VARCHAR) AS session, max(event_id) AS seq, '[' || string_agg(props, ',' ORDER BY event_id) || ']' AS text FROM events WHERE user_id IS NOT NULL AND props IS NOT NULL GROUP BY user_id"
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, pages (with their URL as path) and coloured logs."""
     return documents(spark, sf_dir).unionByName(pages(spark, sf_dir)).unionByName(logs(spark, sf_dir))

@@ -105,7 +105,7 @@ def symbol_ratio(x: str) -> str:
 
 
 def prose_ratio(x: str) -> str:
-    return f"({count(x, P.PROSE)} / greatest(1.0::DOUBLE, {units(x)} / 100))"
+    return f"({count(x, P.PROSE_RE2)} / greatest(1.0::DOUBLE, {units(x)} / 100))"
 
 
 def tag_density(x: str) -> str:
@@ -113,7 +113,7 @@ def tag_density(x: str) -> str:
 
 
 def prose_run(x: str) -> str:
-    marks = f"array_to_string(list_transform(list_filter({lines(x)}, lambda y: NOT {blank('y')}), lambda y: CASE WHEN {count('y', P.STRONG_PROSE)} >= 2 THEN '1' ELSE '0' END), '')"
+    marks = f"array_to_string(list_transform(list_filter({lines(x)}, lambda y: NOT {blank('y')}), lambda y: CASE WHEN {count('y', P.STRONG_PROSE_RE2)} >= 2 THEN '1' ELSE '0' END), '')"
     return f"coalesce(list_max(list_transform(regexp_extract_all({marks}, '1+'), lambda z: length(z))), 0)"
 
 
@@ -126,21 +126,23 @@ def line_structured(kept: str) -> str:
 
 
 def classified(source: str) -> str:
-    """The columns of ``source`` plus type, confidence and signals (without the JSON signal)."""
+    """The columns of ``source`` plus type, confidence and signals. json_valid takes [NaN] and [1,] as well, which no capture is."""
     tests = [
-        ("symbol_ratio > 0.008", "'strong-symbol'"), ("tags > 1", "'markup-tag'"), ("has_ansi", "'ansi'"), ("coalesce(repeated, false)", "'line-structured'"), ("ratio > 1.5", "'prose-heavy'"), ("run >= 3", "'prose-lines'"), (f"tool IN {words(P.SIGNAL_TOOLS)}", "'tool:' || tool"),
+        ("is_json", "'json-valid'"), ("symbol_ratio > 0.008", "'strong-symbol'"), ("tags > 1", "'markup-tag'"), ("has_ansi", "'ansi'"), ("coalesce(repeated, false)", "'line-structured'"), ("ratio > 1.5", "'prose-heavy'"), ("run >= 3", "'prose-lines'"), (f"tool IN {words(P.SIGNAL_TOOLS)}", "'tool:' || tool"),
     ]
     names = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN {n} END" for t, n in tests) + "], lambda z: z IS NOT NULL)"
     has_signal = lambda n: f"list_contains(names, '{n}')"
     score = " + ".join(f"CASE WHEN {has_signal(n)} THEN 1.5::DOUBLE ELSE 0 END" for n in ("strong-symbol", "markup-tag", "ansi", "line-structured"))
-    return f"""(SELECT * EXCLUDE (symbol_ratio, tags, has_ansi, repeated, ratio, run, ext, words, names, s, p, prose, is_binary, full_text, kept, by_ext, by_path),
+    score = f"CASE WHEN {has_signal('json-valid')} THEN 2.0::DOUBLE ELSE 0 END + {score}"
+    body = trim("full_text")
+    return f"""(SELECT * EXCLUDE (is_json, symbol_ratio, tags, has_ansi, repeated, ratio, run, ext, words, names, s, p, prose, is_binary, full_text, kept, by_ext, by_path),
       CASE WHEN length(full_text) = 0 THEN 'empty' WHEN is_binary THEN 'structured' WHEN by_path THEN 'structured' WHEN prose AND s >= 1.5 THEN 'mixed' WHEN prose THEN 'prose' WHEN s >= 1.5 THEN 'structured' ELSE 'prose' END AS type,
       CASE WHEN length(full_text) = 0 THEN 1.0::DOUBLE WHEN is_binary THEN 0.95::DOUBLE WHEN by_path THEN 0.9::DOUBLE WHEN prose AND s >= 2.5 THEN 0.7::DOUBLE WHEN prose AND s >= 1.5 THEN 0.6::DOUBLE
         WHEN prose AND p > 0 THEN least(1.0::DOUBLE, 0.6::DOUBLE + (p - 0.6::DOUBLE) * 0.2::DOUBLE) WHEN prose THEN 0.55::DOUBLE WHEN s >= 2 THEN least(1.0::DOUBLE, s / 3) WHEN s >= 1.5 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
       CASE WHEN length(full_text) = 0 THEN ['empty'] WHEN is_binary THEN ['binary'] WHEN by_path THEN [CASE WHEN len(words) > 0 AND NOT by_ext THEN 'name:' || words[1] ELSE 'ext:' || ext END] ELSE names END AS signals
       FROM (SELECT *, {score} AS s, CASE WHEN ratio > 1.5 THEN 0.6::DOUBLE + (ratio - 1.5::DOUBLE) * 0.8::DOUBLE ELSE 0::DOUBLE END AS p, {has_signal('prose-heavy')} OR {has_signal('prose-lines')} AS prose, by_ext OR len(words) > 0 AS by_path
       FROM (SELECT *, {names} AS names, coalesce(ext IN {words(P.STRUCTURED_EXTENSIONS)}, false) AS by_ext
-      FROM (SELECT *, {symbol_ratio('full_text')} AS symbol_ratio, {tag_density('full_text')} AS tags, {has('full_text', P.ANSI)} AS has_ansi, {line_structured('kept')} AS repeated, {prose_ratio('full_text')} AS ratio, {prose_run('full_text')} AS run,
+      FROM (SELECT *, {symbol_ratio('full_text')} AS symbol_ratio, {tag_density('full_text')} AS tags, {has('full_text', P.ANSI)} AS has_ansi, {line_structured('kept')} AS repeated, {prose_ratio('full_text')} AS ratio, {prose_run('full_text')} AS run, CASE WHEN regexp_matches({body}, '^[\\[{{]') AND json_valid({body}) THEN true ELSE false END AS is_json,
         {extension('path')} AS ext, coalesce({keywords(file_name('path'), P.FILTER_KEYWORDS)}, []) AS words, {binary('full_text')} AS is_binary FROM (SELECT *, {plain_lines('full_text')} AS kept FROM (SELECT *, coalesce(text, '') AS full_text FROM {source}))))))"""
 
 
@@ -149,16 +151,15 @@ def snip_parts(x: str) -> dict[str, str]:
     ls, n = lines(x), f"len({lines(x)})"
     middle = f"array_to_string(({ls})[31:{n} - 30], chr(10))"
     name = f"('snip-' || substr(sha256({middle}), 1, 12))"
-    kept = f"array_to_string(({ls})[1:30], chr(10)) || chr(10) || chr(10) || '「省略 ' || ({n} - 60) || ' 行,handle=' || {name} || '」' || chr(10) || chr(10) || array_to_string(({ls})[{n} - 29:{n}], chr(10))"
+    kept = f"array_to_string(({ls})[1:30], chr(10)) || chr(10) || chr(10) || '[' || ({n} - 60) || ' lines left out, kept as ' || {name} || ']' || chr(10) || chr(10) || array_to_string(({ls})[{n} - 29:{n}], chr(10))"
     return {"cut": f"({n} > 120)", "middle": middle, "name": name, "kept": kept, "total": n}
 
 
 def digested(source: str, keep: str) -> str:
     """keep, text (input), d_text, d_method, signals, fails, warns, errors and gate of a subquery with columns keep and text."""
     mark = (
-        "chr(10) || chr(10) || '「sifter:结构化摘要 — 共 ' || total || ' 行,提取 ' || signals || ' 条信号(失败 ' || fails || ' / 警告 ' || warns || ' / 错误 ' || errors || ')' || "
-        "CASE WHEN signals > 50 THEN '(另有 ' || (signals - 50) || ' 条信号未列,见全文)' ELSE '' END || ',省略 ' || (total - least(signals, 50)) || ' 行噪声,handle=' || name || "
-        "'。sft_retrieve(handle=\"' || name || '\", query=\"关键词\") 查全文片段,或 startLine 按行取。统计/聚合用 Bash 处理源输出,勿取回全文。」'"
+        "chr(10) || chr(10) || '[sifter: signals of ' || total || ' lines: ' || signals || ' (failures ' || fails || ', warnings ' || warns || ', errors ' || errors || ')' || CASE WHEN signals > 50 THEN '; ' || (signals - 50) || ' more signals not shown' ELSE '' END || "
+        "'; ' || (total - least(signals, 50)) || ' lines left out, kept as ' || name || '. Ask retrieve(handle, query) for passages or retrieve(handle, start, count) for lines.]'"
     )
     n = lambda k: f"len(list_filter(found, lambda z: z.kind = '{k}'))"
     return f"""(SELECT {keep}, text, CASE WHEN done THEN full_text ELSE text END AS d_text, CASE WHEN done THEN 'structured-digest' ELSE 'structured-digest:noop' END AS d_method, signals, fails, warns, errors,

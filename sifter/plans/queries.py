@@ -49,18 +49,21 @@ def values_sql(columns: list[str], values: list[tuple]) -> str:
 # Captures as metric rows: classified, and stripped where structured -------------------------------------------------------------
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metric row per capture. One in eleven has the retired method and one in thirteen none; retrievals are every third row."""
-    rows_ = C.with_class(S.captures(spark, sf_dir), "r", with_json=False)
-    rows_ = text.with_strip(rows_, "s")
+    """The stored metric rows that the reports read: a row per capture. One in eleven has the retired method and one in thirteen none;
+    retrievals are every third row."""
+    return S.once(spark, sf_dir, "metrics", _metric_rows)
+
+
+def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = text.with_strip(C.with_class(S.captures(spark, sf_dir), "r"), "s")
     stripped = F.col("s")
     structured = F.col("r.type") == "structured"
     method = F.when(F.col("seq") % 11 == 3, "format-strip+dedup").when(F.col("seq") % 13 == 5, F.lit(None)).when(structured, stripped["method"]).otherwise("none")
-    out = rows_.select(
+    return rows_.select(
         F.col("seq").alias("id"), F.col("key").alias("handle"), F.col("path").alias("source"), "tool", F.col("r.type").alias("content_type"), text.units(F.col("text")).cast("long").alias("original_size"),
         F.when(structured, text.units(stripped["text"])).otherwise(text.units(F.col("text"))).cast("long").alias("compressed_size"), method.alias("method"), F.lit(0).cast("long").alias("retrieved_count"),
         F.col("session").alias("session_id"), (F.col("seq") * 1000 + F.length("key")).cast("long").alias("created_at"),
     )
-    return out.persist(StorageLevel.DISK_ONLY)  # the reports below read one table of metric rows
 
 
 _METRICS_SQL = f"""(SELECT seq AS id, key AS handle, path AS source, tool, type AS content_type, {D.units('text0')} AS original_size, CASE WHEN type = 'structured' THEN {D.units('text1')} ELSE {D.units('text0')} END AS compressed_size,
@@ -245,20 +248,21 @@ def c10_prose_runs(spark, sf_dir):
 
 @query(f"SELECT key, type, round(confidence, 9) AS confidence, array_to_string(signals, ',') AS signals FROM {D.classified(S.CAPTURES_SQL)}")
 def c13_classify(spark, sf_dir):
-    out = C.with_class(S.captures(spark, sf_dir), "r", with_json=False)
+    out = C.with_class(S.captures(spark, sf_dir), "r")
     return out.select("key", "r.type", F.round("r.confidence", 9).alias("confidence"), F.array_join("r.signals", ",").alias("signals"))
 
 
-@query()
+@query(f"SELECT key, type, round(confidence, 9) AS confidence, array_to_string(signals, ',') AS signals FROM {D.classified(f'({S.CAPTURES_SQL} UNION ALL {S.JSON_SQL})')}")
 def c13_classify_with_json(spark, sf_dir):
-    out = C.with_class(S.captures(spark, sf_dir), "r")
+    """With captures that are JSON lists."""
+    out = C.with_class(S.captures(spark, sf_dir).unionByName(S.json_lists(spark, sf_dir)), "r")
     return out.select("key", "r.type", F.round("r.confidence", 9).alias("confidence"), F.array_join("r.signals", ",").alias("signals"))
 
 
 @query(f"SELECT key, CASE WHEN type IN ('prose', 'mixed') THEN text ELSE text1 END = text AS unchanged, type FROM (SELECT key, type, text0 AS text, text1 FROM {D.strip_cte(D.classified(S.CAPTURES_SQL), 'key, type')})")
 def p30_dispatch(spark, sf_dir):
     """Prose and mixed captures pass byte for byte."""
-    out = text.with_strip(C.with_class(S.captures(spark, sf_dir), "r", with_json=False), "s")
+    out = text.with_strip(C.with_class(S.captures(spark, sf_dir), "r"), "s")
     sent = F.when(F.col("r.type").isin("prose", "mixed"), F.col("text")).otherwise(F.col("s.text"))
     return out.select("key", (sent == F.col("text")).alias("unchanged"), "r.type")
 
@@ -379,7 +383,7 @@ def w01_original_handles(spark, sf_dir):
     return out.select("doc_id", "handle", "size")
 
 
-_TOKENS = r"list_transform(regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}\p{Co}]+'), lambda z: z)"
+_TOKENS = r"list_transform(regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}\p{Co}]+'), lambda z: z)"
 
 
 @query(f"SELECT handle, line_no, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT handle, line_no, {_TOKENS} AS t FROM {_CHUNKS_SQL})")
@@ -396,14 +400,14 @@ _SEARCH_SQL = f"""SELECT handle, line_no, round(-(idf1 * tf1 * 2.2 / (tf1 + 1.2
 @query(f"{_SEARCH_SQL} ORDER BY rank, handle, line_no LIMIT 50")
 def f01_search(spark, sf_dir):
     """A word and a phrase over all handles."""
-    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", limit=10_000)
+    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", limit=None)
     return found.select("handle", "line_no", F.round("rank", 6).alias("rank")).orderBy("rank", "handle", "line_no").limit(50)
 
 
-@query(f"SELECT * FROM ({_SEARCH_SQL}) WHERE handle = 'src-src1' ORDER BY rank, handle, line_no LIMIT 10")
+@query(f"SELECT * FROM ({_SEARCH_SQL}) WHERE handle = 'src-src1-0' ORDER BY rank, handle, line_no LIMIT 10")
 def f03_search_in_handle(spark, sf_dir):
     """The handle filters the result; statistics stay global."""
-    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", handle="src-src1", limit=10_000)
+    found = search.search(store.chunks(_originals(spark, sf_dir)), "Thing of.the", handle="src-src1-0", limit=None)
     return found.select("handle", "line_no", F.round("rank", 6).alias("rank")).orderBy("rank", "handle", "line_no").limit(10)
 
 
@@ -438,21 +442,29 @@ def a04_recent(spark, sf_dir):
 
 
 @query(
-    f"SELECT 3 AS part, content_type || ' ' || n || ' ' || saved AS line FROM (SELECT content_type, count(*) AS n, CAST(sum(original_size - compressed_size) AS BIGINT) AS saved FROM {_METRICS_SQL} WHERE {_COUNTED} GROUP BY content_type) UNION ALL SELECT 4, coalesce(substr(session_id, 1, 8), '(unknown)') || ' ' || n || ' ' || saved FROM ({_SESSIONS_SQL}) "
+    f"SELECT 1 AS part, 'records ' || count(*) || ' compressed ' || count(*) FILTER (WHERE compressed_size < original_size) || ' saved ' || CAST(greatest(0, sum(original_size) - sum(compressed_size)) AS BIGINT) || ' of ' || CAST(sum(original_size) AS BIGINT) || ' retrieved ' || CAST(sum(retrieved_count) AS BIGINT) AS line FROM {_METRICS_SQL} WHERE {_COUNTED} UNION ALL "
+    f"SELECT 3, content_type || ' ' || n || ' ' || saved FROM (SELECT content_type, count(*) AS n, CAST(sum(original_size - compressed_size) AS BIGINT) AS saved FROM {_METRICS_SQL} WHERE {_COUNTED} GROUP BY content_type) UNION ALL SELECT 4, coalesce(substr(session_id, 1, 8), '(unknown)') || ' ' || n || ' ' || saved FROM ({_SESSIONS_SQL}) "
     f"UNION ALL SELECT 2, rpad(coalesce(tool, '?'), 5, ' ') || ' ' || rpad(content_type, 10, ' ') || ' ' || lpad(CAST(original_size AS VARCHAR), 6, ' ') || ' ' || lpad(CAST(compressed_size AS VARCHAR), 6, ' ') || ' ' || lpad(CAST(saved_pct AS VARCHAR), 4, ' ') || '%' FROM ({_RECENT_SQL})"
 )
 def q02_stats(spark, sf_dir):
-    return metrics.stats_lines(_metrics(spark, sf_dir)).where("part > 1").select("part", "line")
+    m = _metrics(spark, sf_dir)
+    return metrics.stats_lines(store.with_retrievals(m, _retrievals(m))).select("part", "line")
 
 
 # Decisions and corpus ----------------------------------------------------------------------------------------------------
 
+def _named(spark, sf_dir):
+    """Captures of which a third of those without a path have one whose name holds a keyword of the decision log."""
+    path = F.coalesce("path", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("/data/stats_"), F.col("seq").cast("string"), F.lit(".md"))))
+    return S.captures(spark, sf_dir).withColumn("path", path)
+
+
 def _decisions(spark, sf_dir):
-    out = C.with_class(S.captures(spark, sf_dir), "result", with_json=False)
-    return corpus.decisions(out.withColumn("ts", F.col("seq").cast("long"))).persist(StorageLevel.DISK_ONLY)
+    return S.once(spark, sf_dir, "decisions", lambda spark, sf_dir: corpus.decisions(C.with_class(_named(spark, sf_dir), "result").withColumn("ts", F.col("seq").cast("long"))))
 
 
-_DECISIONS_SQL = f"(SELECT path, coalesce(regexp_extract({_BASE}, '(?s)^.+?(\\.[^.]*)$', 1), '') AS ext, {D.keywords(f'lower(coalesce({_BASE}, {chr(39)}{chr(39)}))', P.DECISION_KEYWORDS)} AS words, {D.units('text')} AS size, type, confidence, seq AS ts, key FROM {D.classified(S.CAPTURES_SQL)})"
+_NAMED_SQL = f"(SELECT * REPLACE (coalesce(path, CASE WHEN seq % 3 = 0 THEN '/data/stats_' || seq || '.md' END) AS path) FROM {S.CAPTURES_SQL})"
+_DECISIONS_SQL = f"(SELECT path, coalesce(regexp_extract({_BASE}, '(?s)^.+?(\\.[^.]*)$', 1), '') AS ext, {D.keywords(f'lower(coalesce({_BASE}, {chr(39)}{chr(39)}))', P.DECISION_KEYWORDS)} AS words, {D.units('text')} AS size, type, confidence, seq AS ts, key FROM {D.classified(_NAMED_SQL)})"
 
 
 @query(f"SELECT CASE WHEN ext = '' THEN '(none)' ELSE ext END AS ext, type, count(*) AS n FROM {_DECISIONS_SQL} GROUP BY ALL")
@@ -476,10 +488,27 @@ def t05_low_confidence(spark, sf_dir):
 
 
 def _bucketed(spark, sf_dir):
-    """Pages and documents with the buckets of their made-up file names."""
-    rows_ = _both(spark, sf_dir).withColumn("file", F.concat("key", F.element_at(F.array(*map(F.lit, (".md", ".ts", ".txt"))), (F.col("seq") % 3 + 1).cast("int"))))
-    rows_ = rows_.withColumn("bucket", corpus.bucket(F.col("file"), F.col("text"), text.binary(F.col("text"))))
-    return C.with_class(rows_, "r", tool="", path="", with_json=False).select("key", "seq", "bucket", F.col("r.type").alias("type")).persist(StorageLevel.DISK_ONLY)
+    """Pages and documents with the buckets and types of their made-up file names, as the evaluation stores them."""
+    return S.once(spark, sf_dir, "bucketed", _bucketed_rows)
+
+
+def _files(spark, sf_dir):
+    rows_ = _both(spark, sf_dir).withColumn("path", F.concat("key", F.element_at(F.array(*map(F.lit, (".md", ".ts", ".txt"))), (F.col("seq") % 3 + 1).cast("int"))))
+    return rows_.withColumn("bucket", corpus.bucket(F.col("path"), F.col("text"), text.binary(F.col("text"))))
+
+
+def _bucketed_rows(spark, sf_dir):
+    return C.with_class(_files(spark, sf_dir), "r", tool="", path="").select("key", "path", "seq", "bucket", F.col("r.type").alias("type"), F.col("r.confidence").alias("confidence"))
+
+
+def _markdown_blocks(spark, sf_dir):
+    """path, n, text and class of the paragraphs of the Markdown files, between which headings and fences have been put."""
+    return S.once(spark, sf_dir, "blocks", _block_rows)
+
+
+def _block_rows(spark, sf_dir):
+    files = _files(spark, sf_dir).where("path LIKE '%.md'")
+    return C.with_class(files.select("path", F.posexplode(corpus.prose_blocks_column("text")).alias("n", "text")), "r", tool="", path="")
 
 
 _BUCKETED_SQL = f"(SELECT key, seq, text, type, CASE WHEN {D.binary('text')} THEN 'binary' WHEN {D.units('text')} < 50 THEN 'skip' WHEN seq % 3 = 0 THEN 'observe' WHEN seq % 3 = 1 THEN 'structured' ELSE 'prose-candidate' END AS bucket FROM {D.classified(f'(SELECT key, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS tool, seq, text FROM {_BOTH_SQL})')})"
@@ -490,9 +519,83 @@ def a09_confusion(spark, sf_dir):
     return corpus.confusion(_bucketed(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS blocks, count(*) FILTER (WHERE type <> 'prose') AS wrong, coalesce(round(avg(CASE WHEN type <> 'prose' THEN 1.0::DOUBLE ELSE 0 END), 9), 0) AS rate FROM {_BUCKETED_SQL} WHERE bucket = 'prose-candidate'")
+@query()
 def a10_prose_rate(spark, sf_dir):
-    return corpus.misjudged_prose(_bucketed(spark, sf_dir).where("bucket = 'prose-candidate'")).withColumn("rate", F.round("rate", 9))
+    """Paragraphs of Markdown files that are taken for structured; the paragraphs come from a state machine, so there is no SQL."""
+    return corpus.misjudged_prose(_markdown_blocks(spark, sf_dir).select(F.col("r.type").alias("type"))).withColumn("rate", F.round("rate", 9))
+
+
+@query()
+def p32_prose_blocks_of_files(spark, sf_dir):
+    return _markdown_blocks(spark, sf_dir).select("path", "n", F.md5("text").alias("digest"))
+
+
+@query()
+def t06_samples(spark, sf_dir):
+    """The first 20 paragraphs that the classifier isn't sure of."""
+    return corpus.samples(_markdown_blocks(spark, sf_dir), F.col("r.confidence") < 0.6)
+
+
+@query(f"SELECT CASE seq % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'ts' ELSE 'txt' END AS ext, type, count(*) AS n FROM {_BUCKETED_SQL} WHERE bucket = 'observe' GROUP BY ALL ORDER BY ext, n DESC, type")
+def a11_observed(spark, sf_dir):
+    return corpus.observed(_bucketed(spark, sf_dir))
+
+
+@query(f"SELECT ext, count(*) AS n FROM (SELECT CASE WHEN key LIKE 'page%' THEN 'p' || (seq % 40) ELSE 'd' || (seq % 31) END AS ext FROM {_BUCKETED_SQL}) GROUP BY ext ORDER BY n DESC, ext LIMIT 15")
+def t07_commonest(spark, sf_dir):
+    """The 15 commonest of some dozens of made-up extensions."""
+    ext = F.when(F.col("key").like("page%"), F.concat(F.lit("p"), (F.col("seq") % 40).cast("string"))).otherwise(F.concat(F.lit("d"), (F.col("seq") % 31).cast("string")))
+    return corpus.commonest(_bucketed(spark, sf_dir).select(ext.alias("ext")), "ext", limit=15)
+
+
+@query(f"SELECT type, count(*) AS n FROM {_BUCKETED_SQL} GROUP BY type ORDER BY n DESC, type")
+def t08_by_count(spark, sf_dir):
+    return corpus.commonest(_bucketed(spark, sf_dir), "type")
+
+
+@query(f"SELECT array_to_string(words, ',') AS keywords, type, count(*) AS n FROM {_DECISIONS_SQL} WHERE len(words) > 0 GROUP BY ALL ORDER BY keywords, type")
+def t09_by_key(spark, sf_dir):
+    return corpus.ordered_by_key(_decisions(spark, sf_dir))
+
+
+def _decision_lines(spark, sf_dir):
+    """A decision log with lines that can't be read, and empty ones."""
+    row = F.to_json(F.struct(*(F.col(c) for c in ("path", "ext", "filename", "nameKeywords", "size", "type", "confidence", "signals", "tool", "ts"))))
+    broken = F.when(F.col("ts") % 7 == 0, F.concat(F.lit("{"), row)).when(F.col("ts") % 11 == 0, F.lit("")).when(F.col("ts") % 13 == 0, F.lit("[]")).otherwise(row)
+    return _decisions(spark, sf_dir).select(broken.alias("value"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE ts % 7 = 0 OR ts % 11 <> 0) AS total, count(*) FILTER (WHERE ts % 7 <> 0 AND ts % 11 <> 0 AND ts % 13 <> 0) AS records FROM {_DECISIONS_SQL}")
+def a08_line_total(spark, sf_dir):
+    return corpus.line_total(_decision_lines(spark, sf_dir))
+
+
+@query(f"SELECT path, size, type, round(confidence, 9) AS confidence, CAST(ts AS BIGINT) AS ts FROM {_DECISIONS_SQL} WHERE ts % 7 <> 0 AND ts % 11 <> 0 AND ts % 13 <> 0")
+def s06_read_decisions(spark, sf_dir):
+    return corpus.read_decisions(_decision_lines(spark, sf_dir)).select("path", "size", "type", F.round("confidence", 9).alias("confidence"), "ts")
+
+
+@query(
+    f"""SELECT 'bucket' AS section, bucket AS key, CAST(NULL AS VARCHAR) AS type, count(*) AS n, CAST(NULL AS DOUBLE) AS share FROM {_BUCKETED_SQL} GROUP BY bucket
+    UNION ALL SELECT 'confusion', 'structured', type, count(*), round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) FROM {_BUCKETED_SQL} WHERE bucket = 'structured' GROUP BY type
+    UNION ALL SELECT 'observe', 'md', type, count(*), round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) FROM {_BUCKETED_SQL} WHERE bucket = 'observe' GROUP BY type"""
+)
+def q07_evaluation(spark, sf_dir):
+    """The evaluation report without its paragraphs, which a10 counts."""
+    return corpus.evaluation(_bucketed(spark, sf_dir), _markdown_blocks(spark, sf_dir).select(F.col("r.type").alias("type"))).where("section <> 'prose'")
+
+
+@query("SELECT DISTINCT doc_id, true AS found FROM documents WHERE doc_id IN (3, 7)")
+def s04_has_symbols(spark, sf_dir):
+    """Existence by handle."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("handle"))
+    known = [i for i in (3, 7, -5) if store.has_symbols(docs, str(i))]
+    return rows(spark, "doc_id BIGINT, found BOOLEAN", [(i, True) for i in known])
+
+
+@query(f"SELECT doc_id, md5(text1) AS digest FROM {D.strip_cte(f'({S.NOISY_SQL})', 'doc_id')}")
+def p04_format_restore(spark, sf_dir):
+    return text.with_strip(S.noisy(spark, sf_dir), "s").select("doc_id", F.md5(text.format_restore(F.col("s.text"))).alias("digest"))
 
 
 @query(f"SELECT bucket, count(*) AS n FROM {_BUCKETED_SQL} GROUP BY bucket")
@@ -510,7 +613,7 @@ _SOURCES_SQL = f"({S.logs_sql()} UNION ALL {S.pages_sql(False)})"
 )
 def a13_corpus(spark, sf_dir):
     """Logs and pages measured as a corpus: classified, and structured ones compressed."""
-    rows_ = C.with_class(S.logs(spark, sf_dir).unionByName(S.pages(spark, sf_dir, with_path=False)), "r", with_json=False).withColumn("type", F.col("r.type"))
+    rows_ = C.with_class(S.logs(spark, sf_dir).unionByName(S.pages(spark, sf_dir, with_path=False)), "r").withColumn("type", F.col("r.type"))
     rows_ = Z.with_compression(rows_.withColumn("ext", F.split("key", "-")[0]), "text", "c")
     done = (F.col("type") == "structured") & F.col("c.compressed")
     return corpus.measure(rows_.select("ext", "type", done.alias("compressed"), (done & F.array_contains("c.steps", "structured-digest")).alias("digested"), F.col("c.original_size").cast("long").alias("original_size"), F.col("c.compressed_size").cast("long").alias("compressed_size")))
@@ -571,19 +674,37 @@ def g09_find_symbol(spark, sf_dir):
     return codegraph.find_symbol(_code(spark)[1], "h2", "o").select("name", "kind", "start_line")
 
 
-@query(f"SELECT from_handle, from_symbol, line, CASE WHEN from_handle = 'h3' THEN 'same file' ELSE 'cross file' END AS state FROM {_EDGES_SQL} WHERE to_handle = 'h3' AND to_symbol IN ('foo')")
+_SYMBOLS_SQL = values_sql(["handle", "name", "kind", "start_line", "end_line", "exported", "signature", "lang"], _SYMBOLS)
+
+
+@query(
+    f"""SELECT from_handle, from_symbol, line, CASE WHEN from_handle = 'h3' THEN 'same file' ELSE 'cross file' END AS state, source, signature FROM {_EDGES_SQL} e LEFT JOIN (SELECT handle, name, signature FROM {_SYMBOLS_SQL}) s ON s.handle = from_handle AND s.name = from_symbol
+    LEFT JOIN {values_sql(["handle", "source"], [(f[0], f[1]) for f in _FILES])} f ON f.handle = from_handle WHERE to_handle = 'h3' AND to_symbol IN ('foo')"""
+)
 def g11_callers(spark, sf_dir):
     originals, symbols, refs = _code(spark)
-    return codegraph.callers(refs, symbols, originals, "h3", "foo").select("from_handle", "from_symbol", "line", "state")
+    return codegraph.callers(refs, symbols, originals, "h3", "foo").select("from_handle", "from_symbol", "line", "state", "source", "signature")
 
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES_SQL}), walk AS (SELECT 1 AS level, * FROM e WHERE from_handle = 'h1' AND from_symbol = 'run' UNION ALL SELECT w.level + 1, e.* FROM walk w JOIN e ON e.from_handle = w.to_handle AND e.from_symbol = w.to_symbol WHERE w.level < 3)
-    SELECT min(level) AS level, from_handle, from_symbol, to_handle, to_symbol, line FROM walk GROUP BY from_handle, from_symbol, to_handle, to_symbol, line"""
+    SELECT w.*, signature, CASE WHEN to_handle = from_handle THEN 'same file' WHEN to_handle IS NOT NULL THEN 'cross file' WHEN import_src IS NOT NULL THEN 'imported, unread' WHEN to_symbol LIKE '%.%' THEN 'member call' ELSE 'unknown' END AS state
+    FROM (SELECT min(level) AS level, from_handle, from_symbol, to_handle, to_symbol, line, import_src FROM walk GROUP BY ALL) w LEFT JOIN (SELECT handle, name, signature FROM {_SYMBOLS_SQL}) s ON s.handle = to_handle AND s.name = to_symbol"""
 )
 def g12_callees_depth3(spark, sf_dir):
     _, symbols, refs = _code(spark)
-    return codegraph.callees(refs, symbols, "h1", "run", 3).select("level", "from_handle", "from_symbol", "to_handle", "to_symbol", "line")
+    return codegraph.callees(refs, symbols, "h1", "run", 3).select("level", "from_handle", "from_symbol", "to_handle", "to_symbol", "line", "import_src", "state", "signature")
+
+
+@query(
+    f"""SELECT name, kind, signature, (SELECT string_agg(line || ':' || to_symbol, ',' ORDER BY line, to_symbol) FROM {_EDGES_SQL} WHERE from_handle = 'h2' AND from_symbol = 'close' AND ref_type = 'call') AS callees,
+    (SELECT string_agg(line || ':' || from_symbol, ',' ORDER BY line, from_symbol) FROM {_EDGES_SQL} WHERE to_handle = 'h2' AND to_symbol = 'close') AS callers FROM {_SYMBOLS_SQL} WHERE handle = 'h2' AND name = 'close'"""
+)
+def g10_symbol_card(spark, sf_dir):
+    """The exact lookup comes first: the name of one symbol is part of another's."""
+    _, symbols, refs = _code(spark)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["line"].cast("string"), F.lit(":"), e["other"])), ",").alias(c)
+    return codegraph.symbol_card(refs, symbols, "h2", "close").select("name", "kind", "signature", shown("callees"), shown("callers"))
 
 
 # Tool events -----------------------------------------------------------------------------------------------------------------
@@ -596,11 +717,23 @@ def _events(spark, sf_dir):
     return logs.select(F.col("key").alias("event_id"), F.to_json(body).alias("value"))
 
 
-@query()
+_EVENT_LOGS = f"(SELECT * REPLACE ('/var/' || key AS path) FROM ({S.logs_sql()}) WHERE seq % 5 <> 0)"
+_EVENT_KEYS = "key, path, session, type"
+_EVENTS_SQL = f"""(SELECT * FROM (SELECT *, 'orig-' || substr(sha256(text0), 1, 12) AS handle, array_to_string(list_filter([CASE WHEN method NOT LIKE '%:noop' THEN method END, CASE WHEN d_method NOT LIKE '%:noop' THEN d_method END, CASE WHEN was_cut THEN 'snip' END], lambda z: z IS NOT NULL), ',') AS steps
+  FROM (SELECT *, {_S9['cut']} AS was_cut, CASE WHEN {_S9['cut']} THEN {_S9['kept']} ELSE d_text END AS s_text FROM {D.digested(f"(SELECT {_EVENT_KEYS}, text1 AS text, text0, method FROM {D.strip_cte(D.classified(_EVENT_LOGS), _EVENT_KEYS)})", f'{_EVENT_KEYS}, text0, method')}))
+  WHERE type = 'structured' AND {D.units('text0')} >= 2048 AND steps <> '')"""
+
+
+@query(
+    f"""SELECT key AS event_id, md5(s_text || chr(10) || chr(10) || '[sifter: original kept as ' || handle || ', ' || len({D.lines('text0')}) || ' lines, from ' || path || '. Keywords: retrieve(handle, query); lines: retrieve(handle, start, count); totals: process ' || path || '.]') AS digest, 'short' AS other, '3' AS code, 'PostToolUse' AS hook FROM {_EVENTS_SQL}"""
+)
 def p28_rewrite(spark, sf_dir):
+    """The rewritten events, taken apart again: the new leaf, and what stays as it was."""
     from ..operators.rewrite import rewritten
 
-    return rewritten(_events(spark, sf_dir))
+    at = lambda path: F.get_json_object("output", "$.hookSpecificOutput." + path)
+    out = rewritten(_events(spark, sf_dir))
+    return out.select("event_id", F.md5(at("updatedToolOutput.parts[0]")).alias("digest"), at("updatedToolOutput.parts[1]").alias("other"), at("updatedToolOutput.code").alias("code"), at("hookEventName").alias("hook"))
 
 
 @query(f"SELECT key AS event_id, CASE WHEN seq % 5 = 0 THEN 'Grep' ELSE 'Bash' END AS tool, '/var/' || key AS path, p.n AS place, CASE WHEN p.n = 0 THEN {D.units('text')} ELSE 5 END AS size FROM ({S.logs_sql()}) l, (VALUES (0), (1)) AS p(n) WHERE l.seq % 5 <> 0")
@@ -610,15 +743,44 @@ def s01_event_leaves(spark, sf_dir):
     return leaves(_events(spark, sf_dir)).select("event_id", "tool", "path", F.col("at").alias("place"), text.units(F.col("text")).cast("long").alias("size"))
 
 
-@query()
+@query(f"SELECT handle, path AS source, 'Bash' AS tool, type AS content_type, {D.units('text0')} AS original_size, {D.units('s_text')} AS compressed_size, steps AS method, session AS session_id, CAST(1700000000000 AS BIGINT) AS created_at FROM {_EVENTS_SQL}")
 def p29_ingest_metrics(spark, sf_dir):
     from ..operators.rewrite import tables
 
     return tables(_events(spark, sf_dir), 1_700_000_000_000)["metrics"]
 
 
-@query(f"SELECT key AS handle, 'lines' AS mode, 5 AS line_no, array_to_string(({D.lines('text')})[5:7], chr(10)) AS text, true AS retrieved FROM ({S.LONG_SQL}) WHERE key = 'src-src2'")
+@query(f"SELECT handle, {D.units('text0')} AS size, md5(text0) AS digest FROM {_EVENTS_SQL}")
+def p29_ingest_originals(spark, sf_dir):
+    from ..operators.rewrite import tables
+
+    return tables(_events(spark, sf_dir), 1_700_000_000_000)["originals"].where("handle LIKE 'orig-%'").select("handle", "size", F.md5("content").alias("digest"))
+
+
+def _sized(spark, sf_dir):
+    return _originals(spark, sf_dir).withColumn("size", text.units(F.col("content")))
+
+
+@query(f"""SELECT key AS handle, CASE WHEN {D.units('text')} > 60000 THEN 'refused' ELSE 'full' END AS mode, CASE WHEN {D.units('text')} > 60000 THEN CAST({D.units('text')} AS VARCHAR) || ' characters: ask by query or by lines' ELSE text END AS text, {D.units('text')} <= 60000 AS retrieved FROM ({S.LONG_SQL}) WHERE key IN ('src-src1-0', 'src-src2-0', 'src-src3-0')""")
+def c23_retrieve_whole(spark, sf_dir):
+    """Whole texts, or the refusal of one over the limit."""
+    from functools import reduce
+
+    from ..operators.api import retrieve
+
+    originals = _sized(spark, sf_dir)
+    return reduce(DataFrame.unionAll, [retrieve(originals, f"src-src{i}-0") for i in (1, 2, 3)] + [retrieve(originals, "none")]).select("handle", "mode", "text", "retrieved")
+
+
+@query(f"SELECT handle, 'query' AS mode, line_no, '[line ' || line_no || '] ' || content AS text, true AS retrieved FROM (SELECT s.*, c.content FROM ({_SEARCH_SQL}) s JOIN {_CHUNKS_SQL} c USING (handle, line_no) WHERE handle = 'src-src1-0' ORDER BY rank, handle, line_no LIMIT 10)")
+def f03_retrieve_by_keyword(spark, sf_dir):
+    from ..operators.api import retrieve
+
+    return retrieve(_sized(spark, sf_dir), "src-src1-0", query="Thing of.the")
+
+
+@query(f"SELECT key AS handle, 'lines' AS mode, 5 AS line_no, array_to_string(({D.lines('text')})[5:7], chr(10)) AS text, true AS retrieved FROM ({S.LONG_SQL}) WHERE key = 'src-src2-0'")
 def q01_retrieve_lines(spark, sf_dir):
     from ..operators.api import retrieve
 
-    return retrieve(_originals(spark, sf_dir).withColumn("size", text.units(F.col("content"))), "src-src2", start=5, number=3)
+    return retrieve(_sized(spark, sf_dir), "src-src2-0", start=5, number=3)

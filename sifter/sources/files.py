@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import binary
-from ..operators.corpus import bucket, read_decisions
+from ..operators.corpus import bucket, line_total, not_blank, read_decisions
 from ..operators.diagnosis import EXCLUDED
 
 _CORPUS_EXCLUDED = ("node_modules", ".git", "dist", "build", ".next", ".history")
@@ -34,7 +34,7 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
 def measured(spark: SparkSession, root: str) -> DataFrame:
     """path, size and text (of the first 2 MiB) of the files that aren't blank."""
     rows = walk(spark, root, _MEASURE_EXCLUDED).select("path", "size", F.decode(F.substring("content", 1, MEASURED_BYTES), "UTF-8").alias("text"))
-    return rows.where(F.length(F.trim("text")) > 0)
+    return not_blank(rows)
 
 
 def hook_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -47,7 +47,10 @@ def decision_log(spark: SparkSession, path: str) -> DataFrame:
     return read_decisions(spark.read.text(path))
 
 
-def write_decisions(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def decision_total(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a decision log, malformed ones among them, and readable records."""
+    return line_total(spark.read.text(path))
 
 
+def write_decisions(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rewrite import rewritten, tables
+from ..operators.rewrite import compressed_leaves, rewritten, tables
 from ..sources.files import hook_events
 
 
@@ -15,9 +16,13 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, now_m
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.dropDuplicates(["event_id"]).persist()
-        for name, table in {**tables(rows, now_ms, minimum), "rewritten": rewritten(rows, minimum)}.items():
-            table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
-        rows.unpersist()
+        done = compressed_leaves(rows, minimum).persist(StorageLevel.DISK_ONLY)  # judged and compressed once for all tables
+        try:
+            for name, table in {**tables(rows, now_ms, minimum, done), "rewritten": rewritten(rows, minimum, done)}.items():
+                table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        finally:
+            done.unpersist()
+            rows.unpersist()
 
     writer = hook_events(spark, source, streaming=True).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
