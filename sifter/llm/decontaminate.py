@@ -28,6 +28,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,51 +164,72 @@ class Units:
         return edits, ends
 
 
+def _parts(benchmark: DataFrame) -> Iterator[Broadcast[Units]]:
+    """The units of the items, dealt into parts of about PART_BYTES of text, each sent when it is asked for."""
+    parts = max(1, ceil(benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / PART_BYTES))
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for part in range(parts):
+        yield benchmark.sparkSession.sparkContext.broadcast(Units([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(own == part).collect()]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, units found, the fewest edits, the share of
     the best unit that agrees, and the code points start and end of the text that the found units span."""
     id_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     shape = f"doc_id {id_kind}, item_id {item_kind}, n_units BIGINT, edits BIGINT, agreement DOUBLE, start BIGINT, end BIGINT"
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, ceil(size / PART_BYTES))
-    item_type = benchmark.schema["item_id"]
-    ids = {"string": pa.string(), "int": pa.int32()}.get(item_type.dataType.simpleString(), pa.int64())
-    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    ids = {"string": pa.string(), "int": pa.int32()}.get(item_kind, pa.int64())
+    texts = docs.select("doc_id", "text")
+    return reduce(DataFrame.unionAll, [texts.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, ids), shape) for shared in _parts(benchmark)])
 
-    def one(part: int) -> DataFrame:
-        units = Units([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where(own == part).collect()])  # about PART_BYTES of text
-        shared = docs.sparkSession.sparkContext.broadcast(units)
-        return docs.select("doc_id", "text").mapInArrow(lambda batches: _scan(batches, shared.value, ids), shape)
 
-    return reduce(DataFrame.unionAll, map(one, range(parts)))
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, row by row, so that rows of one id or of none are told apart; nothing is
+    shuffled."""
 
+    def clean(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = np.zeros(len(b), bool)
+            bad[[row for row, _ in _found(b, units)[0]]] = True
+            yield b.filter(pa.array(~bad))
 
-def _scan(batches: Iterator[pa.RecordBatch], units: Units, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for shared in _parts(benchmark):
+        docs = docs.mapInArrow(lambda batches, shared=shared: clean(batches, shared.value), docs.schema)
+    return docs
+
+
+def _found(b: pa.RecordBatch, units: Units) -> tuple[dict[tuple[int, object], list], np.ndarray, np.ndarray]:
+    """By row of a batch and item: the units found, the edits and size of the best one, and the bytes from and to which they reach; with
+    the flat texts and their offsets."""
     overlap = 4 * (UNIT + int(RATE * UNIT) + Q)
+    flat, offsets = buffers(column(b, "text"))
+    best: dict[tuple[int, object], list] = {}
+    for i, j in slices(offsets):
+        base = offsets[i]
+        text, source, of = normalised(flat[base : offsets[j]], offsets[i : j + 1] - base)
+        for lo in range(0, len(text), _STRETCH):
+            shift = max(0, lo - overlap)
+            part = text[shift : lo + _STRETCH]
+            unit, band = units.candidates(part)
+            if not len(unit):
+                continue
+            edits, ends = units.verified(part, unit, band)
+            for k in np.flatnonzero(edits <= units.edits[unit]):
+                u = int(unit[k])
+                last = int(min(max(ends[k] + shift - 1, 0), len(text) - 1))
+                row = int(np.searchsorted(of, last, side="right")) - 1
+                first = int(max(of[row], last - units.size[u] + 1))
+                span = (int(source[first]) + base, int(source[last]) + base + 1)
+                got = best.setdefault((i + row, units.item[u]), [set(), edits[k], units.size[u], *span])
+                got[0].add(u)
+                if edits[k] * got[2] < got[1] * units.size[u]:
+                    got[1:3] = edits[k], units.size[u]
+                got[3:] = min(got[3], span[0]), max(got[4], span[1])
+    return best, flat, offsets
+
+
+def _scan(batches: Iterator[pa.RecordBatch], units: Units, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        flat, offsets = buffers(column(b, "text"))
-        best: dict[tuple[int, object], list] = {}
-        for i, j in slices(offsets):
-            base = offsets[i]
-            text, source, of = normalised(flat[base : offsets[j]], offsets[i : j + 1] - base)
-            for lo in range(0, len(text), _STRETCH):
-                part = text[max(0, lo - overlap) : lo + _STRETCH]
-                shift = max(0, lo - overlap)
-                unit, band = units.candidates(part)
-                if not len(unit):
-                    continue
-                edits, ends = units.verified(part, unit, band)
-                for k in np.flatnonzero(edits <= units.edits[unit]):
-                    u = int(unit[k])
-                    last = int(min(max(ends[k] + shift - 1, 0), len(text) - 1))
-                    row = int(np.searchsorted(of, last, side="right")) - 1
-                    first = int(max(of[row], last - units.size[u] + 1))
-                    span = (int(source[first]) + base, int(source[last]) + base + 1)
-                    got = best.setdefault((i + row, units.item[u]), [set(), edits[k], units.size[u], *span])
-                    got[0].add(u)
-                    if edits[k] * got[2] < got[1] * units.size[u]:
-                        got[1:3] = edits[k], units.size[u]
-                    got[3:] = min(got[3], span[0]), max(got[4], span[1])
+        best, flat, offsets = _found(b, units)
         keys = sorted(best, key=lambda x: x[0])
         rows = [best[k] for k in keys]
         point = lambda i, at: len(flat[offsets[i] : at].tobytes().decode(errors="ignore"))
