@@ -11,8 +11,11 @@ original vectors. So is every other vector whose rough score is within its own q
 the parallel and the rest of its residual, which are known, bound what its cosine can be. Nothing is lost, however many scaled or
 near copies crowd the best. Equal vectors are scanned once and then stand for all their ids. Scores are rounded to 12 digits.
 
-Vectors are dealt into groups of about ``GROUP`` by a hash of their id and queries into sets of at most ``QUERIES``;
-a task scans one group for one set and returns k rows for each query, and the best k of all groups are kept.
+Vectors belong to the nearest of up to ``CELLS`` centres (spherical k-means on the sample). A query scans the ``PROBES`` cells nearest to it
+first. A cell keeps the widest angle between its centre and a vector, so a query's cosine with any of its vectors is bounded;
+in a second round, the query scans the other cells whose bound reaches the k-th score that it has found. Where vectors crowd, few cells are left
+then; where they don't, all are, so nothing is lost either way. Large cells are cut into groups of about ``GROUP`` by a hash of the id and
+a cell's queries into sets of at most ``QUERIES``; a task scans one group for one set and returns k rows for each query.
 
 Cases: a null, zero or non-finite vector, or one of another length than most, takes no part; nor does a null id; ties go to
 the smaller id; rows with a query's own id are not its neighbours; fewer candidates than k are all returned; an empty table
@@ -35,6 +38,7 @@ from ._io import stored
 
 WIDTH = 2
 SAMPLE = 8192
+CELLS, PROBES = 256, 8
 GROUP = 16384
 QUERIES = 16384
 #: Inner products from here on matter; it sets the weight of the parallel residual.
@@ -133,42 +137,34 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def train(vectors: DataFrame, dim: int, sample: int = SAMPLE) -> Quantiser:
+def centres(x: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
+    """Spherical k-means: unit centres of unit vectors."""
+    out = x[np.random.default_rng(seed).choice(len(x), count, replace=False)]
+    for _ in range(10):
+        near = (x @ out.T).argmax(axis=1)
+        total = np.zeros_like(out)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        out = np.where(size > 1e-9, total / np.maximum(size, 1e-9), out)
+    return out
+
+
+def train(vectors: DataFrame, dim: int, count: int, sample: int = SAMPLE) -> tuple[Quantiser, np.ndarray]:
+    """The quantiser and at most ``count`` centres, from a bounded sample."""
     rows = vectors.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).select("embedding").collect()
-    return Quantiser(dim).fit(np.array([r[0] for r in rows], np.float64))
+    x = np.array([r[0] for r in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return Quantiser(dim).fit(x), centres(unit, max(1, min(count, CELLS, len(x) // 32)))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = 200) -> DataFrame:
-    """query_id, rank, vec_id and score of the k rows nearest to each row for which ``queries`` holds."""
-    shape = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
-    good = _valid(vectors)
-    dim = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dim is None:
-        return vectors.sparkSession.createDataFrame([], shape).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    dim = dim[0]
-    good = good.where(F.size("embedding") == dim)
-    model = train(good, dim)
+def _search(dim: int, k: int, rerank: int, model: Quantiser):
+    """Of one group of a cell and one set of queries: the k best rows of each query."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                codes = model.encode(_matrix(column(b, "embedding"), dim).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*b.schema.names, "codes"])
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    ids = good.schema["vec_id"].dataType.simpleString()
-    index = stored(good.mapInArrow(encode, f"vec_id {ids}, embedding {kind}, codes BINARY"))
-    asked = index.where(queries).select("vec_id", "embedding")
-    groups, sets = max(1, math.ceil(index.count() / GROUP)), max(1, math.ceil(asked.count() / QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("set", every(sets))
-    right = asked.withColumn("set", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sets)).cast("int")).withColumn("group", every(groups))
-
-    def search(rows: pa.Table, asks: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(rows) and len(asks):
             x, q = (_matrix(t.column("embedding").combine_chunks(), dim) for t in (rows, asks))
-            ids, own = rows.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
+            ids, own, floor = rows.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy(), asks.column("floor").to_numpy()
             order = np.argsort(ids, kind="stable")
             _, first, same = np.unique(np.ascontiguousarray(x[order]).view(f"V{x.itemsize * dim}").ravel(), return_index=True, return_inverse=True)
             members = np.split(ids[order][np.argsort(same, kind="stable")], np.cumsum(np.bincount(same))[:-1])
@@ -187,7 +183,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = 200)
                     near, me = best[j], own[i + j]
                     score = exact(near)
                     others = np.sort(score[(lowest[near] != me) | (highest[near] != me)])
-                    least = others[-k] - _SLACK if len(others) >= k else -1.0
+                    least = max(floor[i + j], others[-k] if len(others) >= k else -1.0) - _SLACK
                     # A cosine of at least ``least`` >= 0 needs this rough score; below 0 the bound says nothing.
                     may = rough[j] >= least * (1 - along) - np.sqrt(max(0.0, 1 - least * least)) * rest - _SLACK if least >= 0 else np.ones(len(x), bool)
                     may[near] = False
@@ -202,6 +198,73 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = 200)
                         out["score"].append(-s)
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    found = left.groupBy("group", "set").cogroup(right.groupBy("group", "set")).applyInArrow(search, shape)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return run
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, rerank: int = 200, group: int = GROUP, probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id and score of the k rows nearest to each row for which ``queries`` holds."""
+    spark, shape = vectors.sparkSession, "query_id BIGINT, vec_id BIGINT, score DOUBLE"
+    good = _valid(vectors)
+    dims = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if dims is None:
+        return spark.createDataFrame([], shape).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    dim, n = dims
+    good = good.where(F.size("embedding") == dim)
+    model, middle = train(good, dim, math.ceil(n / group))
+    kind, ids = (good.schema[c].dataType.simpleString() for c in ("embedding", "vec_id"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = _matrix(column(b, "embedding"), dim).astype(np.float64)
+                near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ middle.T
+                cell = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in model.encode(x)], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(angle)], [*b.schema.names, "codes", "cell", "angle"])
+
+    index = stored(good.mapInArrow(encode, f"vec_id {ids}, embedding {kind}, codes BINARY, cell INT, angle DOUBLE"))
+    census = {r["cell"]: r for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()}  # at most CELLS rows
+    wide = np.array([census[c]["angle"] if c in census else -np.inf for c in range(len(middle))])
+
+    def probed(first: bool):
+        """A row for each query and cell to scan: the nearest cells first, then the others that may hold something better."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                x = _matrix(column(b, "embedding"), dim).astype(np.float64)
+                near = np.where(np.isfinite(wide), (x / np.linalg.norm(x, axis=1, keepdims=True)) @ middle.T, -2)
+                rank = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
+                bound = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - wide - 1e-6))
+                floor = column(b, "floor").to_numpy()
+                row, cell = np.nonzero(np.isfinite(wide) & ((rank < probes) if first else (rank >= probes) & (bound >= floor[:, None] - _SLACK)))
+                out = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
+
+        return run
+
+    def scanned(asked: DataFrame, first: bool) -> DataFrame:
+        asks = stored(asked.select("vec_id", "embedding", "floor").mapInArrow(probed(first), f"vec_id {ids}, embedding {kind}, floor DOUBLE, cell INT"))
+        count = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
+        cut = spark.createDataFrame([(c, math.ceil(census[c]["n"] / group), math.ceil(m / QUERIES)) for c, m in count.items()], "cell INT, groups INT, sets INT")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        of = lambda c, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(c)).cast("int")
+        left = index.join(F.broadcast(cut), "cell").withColumn("part", of("groups", 0)).withColumn("set", each("sets")).select("cell", "part", "set", "vec_id", "embedding", "codes")
+        right = asks.join(F.broadcast(cut), "cell").withColumn("set", of("sets", 1)).withColumn("part", each("groups")).select("cell", "part", "set", "vec_id", "embedding", "floor")
+        keys = ["cell", "part", "set"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(dim, k, rerank, model), shape)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+    # An id that repeats asks once, with the least of its vectors.
+    asked = index.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("floor", F.lit(-2.0))
+    best = ranked(scanned(asked, True))
+    if len(census) > probes:
+        best = stored(best)
+        floor = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_floor"))
+        again = asked.join(floor, "vec_id", "left").withColumn("floor", F.coalesce("_floor", "floor"))
+        best = ranked(best.drop("rank").unionByName(scanned(again, False)))
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -471,6 +471,31 @@ def test_neighbours_among_scaled_and_near_copies(spark):
         assert got[q] == np.lexsort((np.arange(1600), -s))[:5].tolist(), q
 
 
+@pytest.mark.parametrize("probes,clustered", [(8, False), (2, True), (1, False)])
+def test_neighbours_in_many_cells(spark, probes, clustered):
+    """Twenty thousand vectors in cells, groups and sets against brute force, in crowds and without; with ids that repeat and columns that
+    have the operator's own names."""
+    rng = np.random.default_rng(4)
+    n, dim = 20_000, 16
+    x = rng.normal(size=(n, dim))
+    if clustered:
+        x = rng.normal(size=(40, dim))[rng.integers(0, 40, n)] + 0.1 * x
+    x = x.astype(np.float32)
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32())), "cell": [1] * n, "score": ["s"] * n}))
+    twice = table.unionByName(table.where("vec_id = 7"))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(twice, F.col("vec_id") % 400 == 0, k=5, group=1500, probes=probes).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 400):
+        s = np.round(y @ y[q], 12)
+        s[q] = -9
+        hits += len(set(np.lexsort((np.arange(n), -s))[:5].tolist()) & set(got[q]))
+    assert len(got) == n // 400 and hits >= 0.99 * 5 * len(got)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
