@@ -48,6 +48,12 @@ def dropped(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver notice at once which shuffles nothing refers to any more, so that executors delete their files; otherwise that
+    waits for its next collection of garbage."""
+    spark._jvm.System.gc()
+
+
 def remainder_of_crc(col: str, mod: int) -> Column:
     """crc32 of a column's text, modulo ``mod``; a null column gives 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod, F.lit(0))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._arrays import gram_hashes, hash_words, mix
 from ._blocks import block_of, block_size, buckets_for, dealt, grouped, listed, packed_bytes, packed_counts, size_of, text_array, text_blocks, unpacked, unpacked_counts
 from ._graph import components, spread_join
-from ._io import dropped, stored
+from ._io import dropped, released, stored
 
 #: Text of a block, and text whose shingles fill a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
@@ -241,6 +241,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     all_sets = texts.groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(_block_sets(k, percent, buckets), f"doc_id {kind}, n BIGINT, key BINARY, shared BOOLEAN, keys ARRAY<BIGINT>, hashes BINARY")
     rows = stored(all_sets)
     dropped(blocks)
+    released(docs.sparkSession)
 
     # By set, not by row: the copies of a text are counted where they are.
     copies = stored(rows.where("shared").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")))
