@@ -124,7 +124,8 @@ def binary_for_digest(text: Column) -> Column:
 
 def symbol_ratio(text: Column, size: Column | None = None) -> Column:
     size = units(text) if size is None else size
-    marks = F.length(text) - F.length(F.translate(text, "{};", ""))
+    bare = F.replace(F.replace(F.replace(text, F.lit("{")), F.lit("}")), F.lit(";"))  # cheaper than a pattern or a translation
+    marks = F.length(text) - F.length(bare)
     return F.when(size > 0, marks / size).otherwise(F.lit(0.0))
 
 

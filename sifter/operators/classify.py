@@ -27,7 +27,7 @@ def _strict_json(text: str | None) -> bool:
 
 def json_valid(text: Column) -> Column:
     """Strict JSON whose value is an object or a list. Only texts that begin and end like one reach the Python parser."""
-    body = trim(text)
+    body = F.when(F.regexp_like(text, F.lit(P.jvm(r"^{W}*+[\[{]"))), trim(text))
     like = F.regexp_like(body, F.lit(r"(?s)^(\{.*\}|\[.*\])$"))
     return F.coalesce(_strict_json(F.when(like, body)), F.lit(False)) & F.coalesce(like, F.lit(False))
 

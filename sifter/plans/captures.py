@@ -11,10 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ESC = "\x1b"
+#: Tables of texts, which cost far more to look at than to deal.
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is read in fewer partitions than there are cores, as a single small file is, is dealt over them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
