@@ -268,6 +268,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         classes = components(joined.select(F.col("key").alias("a"), F.col("least").alias("b")))
         links = links.drop("least").join(classes.select(F.col("node").alias("key"), F.col("label").alias("least")), "key", "left")
     of_set = stored(copies.join(links, "key", "left").select("key", "first", F.coalesce("least", "key").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    for table in (sets, labels, joined, copies):  # of_set has what they were for
+        dropped(table)
+    released(docs.sparkSession)
     named = spread_join(of_set, of_set.groupBy("least").agg(F.min("first").alias("component_id")), "least").select("key", "component_id", "n_links")
     linked = spread_join(rows.where("shared").select("doc_id", "n", "key"), named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("NOT shared").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
