@@ -46,7 +46,18 @@ def code_symbol(originals: DataFrame, handle: str, symbol: str | None = None, qu
     return (table.where(F.col("name").ilike(f"%{query}%")) if query else table).orderBy("start_line", "name")
 
 
-def code_refs(originals: DataFrame, handle: str, symbol: str, direction: str = "callees", depth: int = 1) -> DataFrame:
-    files = codegraph.parsed(originals)
-    refs, table = codegraph.edges(files, originals), codegraph.symbols(files)
+def code_refs(originals: DataFrame, handle: str, symbol: str, direction: str = "callees", depth: int = 1, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Callees or callers of a symbol. tables: the symbols and edges that ``codegraph.indexed`` keeps; without them every file is parsed
+    for the one answer."""
+    if tables is None:
+        files = codegraph.parsed(originals)
+        tables = codegraph.symbols(files), codegraph.edges(files, originals)
+    table, refs = tables
     return codegraph.callers(refs, table, originals, handle, symbol) if direction == "callers" else codegraph.callees(refs, table, handle, symbol, depth)
+
+
+def retrievals(result: DataFrame, handle: str) -> DataFrame:
+    """What a tool's answer adds to the log of retrievals: one row with the handle if it has content, none for a miss, a refusal or an
+    error."""
+    good = result.where("retrieved") if "retrieved" in result.columns else result
+    return good.limit(1).select(F.lit(handle).alias("handle"))

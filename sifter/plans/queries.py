@@ -707,6 +707,47 @@ def g10_symbol_card(spark, sf_dir):
     return codegraph.symbol_card(refs, symbols, "h2", "close").select("name", "kind", "signature", shown("callees"), shown("callers"))
 
 
+@query(f"SELECT name, kind, start_line, signature FROM {_SYMBOLS_SQL} WHERE handle = 'h2' ORDER BY start_line")
+def s05_symbols_of_file(spark, sf_dir):
+    return store.symbols_of(_code(spark)[1], "h2").select("name", "kind", "start_line", "signature")
+
+
+@query(f"SELECT handle, name, kind, start_line FROM {_SYMBOLS_SQL} WHERE handle = 'h3' AND name = 'bar'")
+def c21_exact_symbol(spark, sf_dir):
+    return codegraph.find_symbol(_code(spark)[1], "h3", "bar").select("handle", "name", "kind", "start_line")
+
+
+@query(f"SELECT name, kind, start_line FROM {_SYMBOLS_SQL} WHERE handle = 'h2' AND name ILIKE '%o%'")
+def q03_code_symbol(spark, sf_dir):
+    from ..operators.api import code_symbol
+
+    return code_symbol(_code(spark)[0], "h2", query="o").select("name", "kind", "start_line")
+
+
+@query(f"SELECT from_handle, from_symbol, line, source FROM {_EDGES_SQL} JOIN {values_sql(['handle', 'source'], [(f[0], f[1]) for f in _FILES])} f ON f.handle = from_handle WHERE to_handle = 'h2' AND to_symbol = 'bar'")
+def q04_code_refs(spark, sf_dir):
+    from ..operators.api import code_refs
+
+    originals, symbols, refs = _code(spark)
+    return code_refs(originals, "h2", "bar", "callers", tables=(symbols, refs)).select("from_handle", "from_symbol", "line", "source")
+
+
+@query(f"SELECT * FROM {values_sql(['handle', 'times'], [('src-src1-0', 1), ('src-src2-0', 1), ('h2', 2)])}")
+def w07_retrievals_of_tools(spark, sf_dir):
+    """Answers with content are counted; a miss, an error and lines beyond the end aren't."""
+    from functools import reduce
+
+    from ..operators import api
+
+    originals, code = _sized(spark, sf_dir), _code(spark)[0]
+    answers = [
+        (api.retrieve(originals, "src-src1-0", start=1, number=2), "src-src1-0"), (api.retrieve(originals, "src-src2-0", start=3, number=1), "src-src2-0"), (api.retrieve(originals, "src-src2-0", start=10**8, number=1), "src-src2-0"), (api.retrieve(originals, "none"), "none"),
+        (api.retrieve(originals, None), "none"), (api.code_symbol(code, "h2"), "h2"), (api.code_symbol(code, "h2", symbol="absent"), "h2"), (api.code_refs(code, "h2", "bar", "callers"), "h2"),
+    ]
+    log = reduce(DataFrame.unionAll, [api.retrievals(x, h) for x, h in answers])
+    return log.groupBy("handle").agg(F.count("*").alias("times"))
+
+
 # Tool events -----------------------------------------------------------------------------------------------------------------
 
 def _events(spark, sf_dir):
