@@ -10,9 +10,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH bytes, where the session hasn't a setting of its own: Python workers and the off-heap buffers of an
+    executor hold a few batches at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(key, BATCH)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; documents that are read in fewer partitions than there are cores, as from a single small file, are dealt over them."""
+    bounded(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows

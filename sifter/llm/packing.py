@@ -38,7 +38,7 @@ from ._io import stored
 CAPACITY = 4096
 END = 1
 #: Distinct chunks of each of the two generations that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _SEGMENT = 1 << 20
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
 _PLAIN = re.compile("[!-@\\[-~à-öø-ÿ]+")
