@@ -6,7 +6,6 @@ spaces aren't cut into characters.
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from functools import cache

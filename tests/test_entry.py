@@ -11,7 +11,7 @@ from sifter.streaming.hook import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents pages".split()
-CHECKED = ["m0_saved_by_type", "p01_format_strip", "p05_snip", "p12_signature", "p17_ext_filter", "c05_signals", "c13_classify", "c14_quirks", "c16_digest", "p09_pipeline", "w03_chunks", "f01_search", "a01_summary", "a03_by_session", "g02_symbols", "g05_edges", "q05_diagnosis"]
+CHECKED = ["m0_saved_by_type", "p01_format_strip", "p05_snip", "p12_signature", "p17_ext_filter", "c05_signals", "c13_classify", "c14_quirks", "c16_digest", "p09_pipeline", "w03_chunks", "f01_search", "a01_summary", "a03_by_session", "g02_symbols", "g05_edges", "q05_diagnosis", "c13_classify_with_json", "p28_rewrite", "p29_ingest_metrics", "q02_stats", "a06_decisions_by_keyword", "a08_line_total", "q07_evaluation", "g10_symbol_card", "f03_retrieve_by_keyword"]
 
 
 def cells(rows):
