@@ -21,12 +21,13 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; documents that are read in fewer partitions than there are cores, as from a single small file, are dealt over them."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A table; with ``spread``, documents that are read in fewer partitions than there are cores, as from a single small file, are
+    dealt over them."""
     bounded(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if spread and name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
