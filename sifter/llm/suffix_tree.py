@@ -11,8 +11,10 @@ its history, and a text's score is the sum of the logarithms.
 No count is ever held in one place. Texts stand in blocks; for each depth, a block sends its distinct contexts with their next
 symbols to buckets by hash of the context, buckets add up, test, and answer each block for its own entries. One pass a depth:
 words, then pairs, then triples whose first two are a candidate. A context of more than ``HOT`` occurrences is cut into slices by
-next symbol, each in a bucket of its own, so that no context fills one; it is retained without the test, which no slice can
-make alone. Words are told apart by 64-bit hashes in the base; in the tree contexts by 40 bits and next symbols by 32 within a bucket.
+next symbol, each in a bucket of its own, so that no context fills one. Slices know the context's occurrences and send their shares of
+its divergence, in whole units, so that the sum and the test are the same however a context is cut; there is at most one such context
+for every ``HOT`` training tokens of a depth. Words are told apart by 64-bit hashes in the base; in the tree contexts by 40 bits and next
+symbols by 32 within a bucket.
 
 Cases: a null or empty text is one end token; a null id is treated as remainder 0; with no training rows the base is log10(1/1) for
 every token and so is the model; repeated rows count once each; an empty table gives an empty result; columns other than doc_id and
@@ -44,13 +46,28 @@ _START = np.uint64(0x5AFE_C0DE_0000_0002)
 _LOW = np.uint64((1 << 40) - 1)
 #: Steps of a rounded chance, and its least power of two.
 _STEPS, _FLOOR = 4, 63
+#: Units in a nat and in a chance of 1; sums of them stay below 2**53, exact whatever their order.
+_UNIT = float(1 << 44)
+#: Of a context that is cut into slices: a slice can't tell whether it is retained.
+_CUT = 2
 
 
 class Deal(NamedTuple):
     """Number of buckets, and occurrences from which on a context is cut into slices."""
 
     buckets: int
-    hot: int
+    cut: int
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the rank of each, as 32-bit numbers: a block's memory is mostly such ranks."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+    names, at = values[new], np.empty(len(values), np.int32)
+    del values
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return names, at
 
 
 class Block:
@@ -71,9 +88,9 @@ class Block:
         inner = np.ones(len(tokens), bool)
         inner[last] = False
         tokens[inner] = hashes
-        self.words, at = np.unique(np.concatenate([tokens, [_END, _START]]), return_inverse=True)
+        self.words, at = _ranked(np.concatenate([tokens, [_END, _START]]))
         self.x = at[:-2]
-        self.row = np.repeat(np.arange(n), counts + 1)
+        self.row = np.repeat(np.arange(n, dtype=np.int32), counts + 1)
         self.tokens = counts + 1
         self.first = np.zeros(len(tokens), bool)
         self.first[last - counts] = True
@@ -82,27 +99,31 @@ class Block:
         self.end = int(at[-2])
         self.train = ~self.held[self.row]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (token before, token) as one number in order, and which of them stands at each place."""
-        return np.unique(self.before * len(self.words) + self.x, return_inverse=True)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (token before, token) in order, as positions in ``words``, and which of them stands at each place."""
+        keys, place = _ranked(self.before.astype(np.int64) * len(self.words) + self.x)
+        return (keys // len(self.words)).astype(np.int32), (keys % len(self.words)).astype(np.int32), place
 
 
 def _asked(context: np.ndarray, total: np.ndarray, symbol: np.ndarray, deal: Deal) -> np.ndarray:
     """The bucket of each (context, next symbol): by the context, or, where it is hot, by a slice of it too."""
-    slices = -(-total // deal.hot)
+    slices = -(-total // deal.cut)
     own = context.copy()
     hot = slices > 1
     own[hot] = mix(context[hot] + symbol[hot] % slices[hot].astype(np.uint64))
     return ((own >> np.uint64(40)) % np.uint64(deal.buckets)).astype(np.int64)
 
 
-def _message(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, parent: np.ndarray, hot: np.ndarray) -> tuple[bytes, bytes]:
-    """Entries in order of context: the distinct contexts with their numbers of entries, and by entry print, rounded chance and count."""
+def _message(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, parent: np.ndarray, total: np.ndarray, cut: int) -> tuple[bytes, bytes]:
+    """Entries in order of context: the distinct contexts with their numbers of entries, those cut into slices once more in full with
+    their occurrences, and by entry print, rounded chance and count."""
     low = context & _LOW
     new = np.concatenate([[True], low[1:] != low[:-1]])
     spots = np.flatnonzero(new)
     size = np.diff(np.append(spots, len(low)))
-    heads = np.concatenate([(low[spots] >> np.uint64(8)).astype("<u4").view(np.uint8), (low[spots] & np.uint64(255)).astype(np.uint8), hot[spots].astype(np.uint8)])
+    hot = total[spots] > cut
+    whole = np.concatenate([context[spots][hot].astype("<u8"), total[spots][hot].astype("<u8")]).view(np.uint8)
+    heads = np.concatenate([(low[spots] >> np.uint64(8)).astype("<u4").view(np.uint8), (low[spots] & np.uint64(255)).astype(np.uint8), hot.astype(np.uint8), whole])
     prints = (symbol & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8)
     rounded = np.clip(np.rint(-np.log2(parent) * _STEPS), 0, _FLOOR * _STEPS).astype(np.uint8)
     return packed_counts(size), packed_bytes(np.concatenate([heads, prints, rounded])) + b"|" + packed_counts(count)
@@ -115,9 +136,12 @@ def _entries(sizes: bytes, contexts: int, body: bytes, n: int) -> tuple[np.ndarr
     k = 4 * contexts
     low = flat[:k].copy().view("<u4").astype(np.uint64) << np.uint64(8) | flat[k : k + contexts].astype(np.uint64)
     hot = flat[k + contexts : k + 2 * contexts] > 0
+    many = 8 * int(hot.sum())
     rest = flat[k + 2 * contexts :]
+    whole, occurrences = rest[:many].copy().view("<u8"), rest[many : 2 * many].copy().view("<i8")
+    rest = rest[2 * many :]
     prints, rounded = rest[: 4 * n].copy().view("<u4").astype(np.uint64), rest[4 * n :]
-    return size, low, hot, prints, rounded, unpacked_counts(body[at + 1 :], n)
+    return size, low | hot.astype(np.uint64) << np.uint64(40), hot, whole, occurrences, prints, rounded, unpacked_counts(body[at + 1 :], n)
 
 
 def _split(body: bytes) -> int:
@@ -136,7 +160,7 @@ _TOLD = "block BIGINT, depth INT, bucket BIGINT, contexts BIGINT, n BIGINT, kept
 def _messages(block: int, context: np.ndarray, total: np.ndarray, symbol: np.ndarray, count: np.ndarray, parent: np.ndarray, deal: Deal) -> pa.RecordBatch:
     out = {k: [] for k in ("bucket", "contexts", "n", "sizes", "body")}
     for b, own, _ in _places(context, total, symbol, deal):
-        sizes, body = _message(context[own], symbol[own], count[own], parent[own], total[own] > deal.hot)
+        sizes, body = _message(context[own], symbol[own], count[own], parent[own], total[own], deal.cut)
         low = context[own] & _LOW
         for k, v in zip(out, (b, 1 + int((low[1:] != low[:-1]).sum()), len(own), sizes, body), strict=True):
             out[k].append(v)
@@ -154,13 +178,20 @@ def _places(context: np.ndarray, total: np.ndarray, symbol: np.ndarray, deal: De
         yield b, own, np.concatenate([[True], low[1:] != low[:-1]])
 
 
+def _retained(n: np.ndarray, gain: np.ndarray, known: np.ndarray, strength: float) -> np.ndarray:
+    """Which contexts are retained, by their occurrences, and the divergence and the parents' chances of their symbols in units."""
+    share = strength / (n + strength)
+    return (n >= LEAST) & (gain / _UNIT + share * np.maximum(0, 1 - known / _UNIT) * np.log(share) >= DIVERGENCE)
+
+
 def _told(depth: int, strength: float):
-    """Of one bucket: the sums of its entries, and which of its contexts are retained, for each block in the order it asked."""
+    """Of one bucket: the sums of its entries, and which of its contexts are retained, for each block in the order it asked; and, as
+    block -1, the contexts that are cut into slices with their occurrences and this bucket's shares of their sums."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         got = [_entries(r["sizes"], r["contexts"], r["body"], r["n"]) for r in rows]
-        size, low, hot, prints, rounded, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        size, low, hot, whole, occurrences, prints, rounded, count = (np.concatenate(x) for x in zip(*got, strict=True))
         names, of = np.unique(low, return_inverse=True)
         by_entry = np.repeat(of, size)
         keys, at = np.unique(by_entry.astype(np.uint64) << np.uint64(32) | prints, return_inverse=True)
@@ -170,36 +201,57 @@ def _told(depth: int, strength: float):
         q = np.ones(len(keys))
         q[at] = 2.0 ** (-rounded.astype(np.float64) / _STEPS)
         n = np.bincount(owner, total, len(names))
+        big, context = np.zeros(len(names), bool), np.zeros(len(names), np.uint64)
+        big[of[hot]], context[of[hot]], n[of[hot]] = True, whole, occurrences
         p = (total + strength * q) / (n + strength)[owner]
-        share = strength / (n + strength)
-        rest = np.maximum(0, 1 - np.bincount(owner, q, len(names)))
-        kl = np.bincount(owner, p * np.log(p / q), len(names)) + share * rest * np.log(share)
-        big = np.zeros(len(names), bool)
-        big[of[hot]] = True
-        kept = (n >= LEAST) & (kl >= DIVERGENCE) | big
-        cuts, heads = np.cumsum([len(g[3]) for g in got])[:-1], np.cumsum([len(g[0]) for g in got])[:-1]
+        gain, known = (np.bincount(owner, np.rint(x * _UNIT), len(names)) for x in (p * np.log(p / q), q))
+        kept = np.where(big, _CUT, _retained(n, gain, known, strength))
+        cuts, heads = np.cumsum([r["n"] for r in rows])[:-1], np.cumsum([r["contexts"] for r in rows])[:-1]
+        shares = np.concatenate([context[big], *(x[big].astype(np.int64).view(np.uint64) for x in (n, gain, known))])
         return pa.table({
-            "block": pa.array([r["block"] for r in rows], pa.int64()), "depth": pa.array([depth] * len(rows), pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()),
-            "contexts": pa.array([r["contexts"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.int64()),
-            "kept": pa.array([packed_bytes(k.astype(np.uint8)) for k in np.split(kept[of], heads)], pa.binary()), "counts": pa.array([packed_counts(t) for t in np.split(total[at], cuts)], pa.binary()),
+            "block": pa.array([*(r["block"] for r in rows), -1], pa.int64()), "depth": pa.array([depth] * (len(rows) + 1), pa.int32()), "bucket": pa.array([rows[0]["bucket"]] * (len(rows) + 1), pa.int64()),
+            "contexts": pa.array([*(r["contexts"] for r in rows), int(big.sum())], pa.int64()), "n": pa.array([*(r["n"] for r in rows), 0], pa.int64()),
+            "kept": pa.array([*(packed_bytes(k.astype(np.uint8)) for k in np.split(kept[of], heads)), packed_bytes(shares)], pa.binary()),
+            "counts": pa.array([*(packed_counts(t) for t in np.split(total[at], cuts)), b""], pa.binary()),
         })
 
     return run
 
 
-def _answers(context: np.ndarray, total: np.ndarray, symbol: np.ndarray, told: dict[int, dict], deal: Deal) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of each entry, and whether its context is retained."""
-    sums, kept = np.zeros(len(context), np.int64), np.zeros(len(context), bool)
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each context that is cut and bucket that has a slice of it."""
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(raw, np.int64).reshape(4, -1)], ["context", "n", "gain", "known"])
+
+
+def _cut(told: DataFrame, strength: float, hot: int | None) -> np.ndarray:
+    """The contexts cut into slices that are retained, in order."""
+    shares = told.where("block = -1 AND contexts > 0").select("kept").mapInArrow(_shares, "context BIGINT, n BIGINT, gain BIGINT, known BIGINT")
+    sums = shares.groupBy("context").agg(F.max("n"), F.sum("gain"), F.sum("known")).collect()  # at most one for each HOT training tokens
+    context, n, gain, known = np.array(sums, np.int64).reshape(-1, 4).T
+    kept = _retained(n, gain, known, strength)
+    if hot is not None:
+        kept |= n > hot
+    return np.sort(context[kept].view(np.uint64))
+
+
+def _answers(context: np.ndarray, total: np.ndarray, symbol: np.ndarray, told: dict[int, dict], cut: np.ndarray, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each entry, and whether its context is retained; ``cut`` are the retained ones of those in slices."""
+    sums, kept = np.zeros(len(context), np.int64), np.zeros(len(context), np.uint8)
     for b, own, new in _places(context, total, symbol, deal):
         sums[own] = unpacked_counts(told[b]["counts"], len(own))
-        kept[own] = unpacked(told[b]["kept"], np.uint8)[np.cumsum(new) - 1] > 0
-    return sums, kept
+        kept[own] = unpacked(told[b]["kept"], np.uint8)[np.cumsum(new) - 1]
+    hot = np.flatnonzero(kept == _CUT)
+    kept[hot] = np.isin(context[hot], cut)
+    return sums, kept > 0
 
 
 class _Scored:
-    """A block with what it has been told: chances of its tokens down to some depth."""
+    """A block with what it has been told: chances of its tokens down to some depth. ``cut`` are the retained contexts of those in
+    slices, by depth from 1."""
 
-    def __init__(self, block: Block, told: list[dict], deal: Deal):
+    def __init__(self, block: Block, told: list[dict], cut: list[np.ndarray], deal: Deal):
         self.block, self.deal = block, deal
         by = [{r["bucket"]: r for r in told if r["depth"] == d} for d in range(3)]
         self.count = np.zeros(len(block.words), np.int64)
@@ -208,43 +260,46 @@ class _Scored:
         self.n, self.v = (told[0]["all_n"], told[0]["all_v"]) if told else (0, 0)
         self.base = (self.count + 1) / (self.n + self.v + 1)
         # The start of a text is followed by something as often as training texts end.
-        follows = np.where(block.words == _START, self.count[block.end], self.count)
-        keys, self.place = block.pairs()
-        left, right = keys // len(block.words), keys % len(block.words)
-        self.pair = {"context": block.words[left], "symbol": block.words[right], "total": follows[left], "parent": self.base[right], "left": left, "right": right}
-        self.used = np.flatnonzero(follows[left] >= LEAST)
-        self.chance, self.pair_sum = self.base[right], np.zeros(len(keys), np.int64)
+        self.follows = np.where(block.words == _START, self.count[block.end], self.count)
+        self.left, self.right, self.place = block.pairs()
+        self.used = np.flatnonzero(self.follows[self.left] >= LEAST)
+        self.chance, self.pair_sum = self.base[self.right], np.zeros(len(self.left), np.int64)
         if by[1]:
-            p = {k: v[self.used] for k, v in self.pair.items()}
-            sums, kept = _answers(mix(p["context"]), p["total"], p["symbol"], by[1], deal)
+            context, total, symbol, parent = self._pair()
+            sums, kept = _answers(context, total, symbol, by[1], cut[0], deal)
             self.pair_sum[self.used] = sums
-            self.chance[self.used] = np.where(kept, (sums + STRENGTH[0] * p["parent"]) / (p["total"] + STRENGTH[0]), p["parent"])
-        self.told = by[2]
+            self.chance[self.used] = np.where(kept, (sums + STRENGTH[0] * parent) / (total + STRENGTH[0]), parent)
+        self.told, self.cut = by[2], cut[1:]
+
+    def _pair(self) -> tuple[np.ndarray, ...]:
+        """Of the pairs in use: context, its occurrences, next symbol and its chance in the base."""
+        left, right = self.left[self.used], self.right[self.used]
+        return mix(self.block.words[left]), self.follows[left], self.block.words[right], self.base[right]
 
     def pairs(self) -> dict[str, np.ndarray]:
-        p = {k: v[self.used] for k, v in self.pair.items()}
-        count = np.bincount(self.place[self.block.train], minlength=len(self.pair["left"]))[self.used]
-        return {"context": mix(p["context"]), "total": p["total"], "symbol": p["symbol"], "count": count, "parent": p["parent"]}
+        count = np.bincount(self.place[self.block.train], minlength=len(self.left))[self.used]
+        context, total, symbol, parent = self._pair()
+        return {"context": context, "total": total, "symbol": symbol, "count": count, "parent": parent}
 
     def triples(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Distinct triples whose first two are a candidate; the places in the block where they stand, and which stands there."""
         b = self.block
-        spots = np.flatnonzero(~b.first)
+        spots = np.flatnonzero(~b.first).astype(np.int32)
         spots = spots[self.pair_sum[self.place[spots - 1]] >= LEAST]
-        keys, which = np.unique(self.place[spots - 1] * len(b.words) + b.x[spots], return_inverse=True)
-        pair, symbol = keys // len(b.words), keys % len(b.words)
-        one = np.zeros(len(keys), np.int64)
+        keys, which = _ranked(self.place[spots - 1].astype(np.int64) * len(b.words) + b.x[spots])
+        pair, symbol = (keys // len(b.words)).astype(np.int32), (keys % len(b.words)).astype(np.int32)
+        one = np.zeros(len(keys), np.int32)
         one[which] = spots
-        context = mix(mix(self.pair["context"][pair]) * np.uint64(3) + self.pair["symbol"][pair])
+        context = mix(mix(b.words[self.left[pair]]) * np.uint64(3) + b.words[self.right[pair]])
         count = np.bincount(which[b.train[spots]], minlength=len(keys))
         return {"context": context, "total": self.pair_sum[pair], "symbol": b.words[symbol], "count": count, "parent": self.chance[self.place[one]]}, spots, which
 
     def logs(self) -> np.ndarray:
         """log10 of the model's chance of every token."""
-        out = self.chance[self.place].copy()
+        out = self.chance[self.place]
         t, spots, which = self.triples()
         if len(spots):
-            sums, kept = _answers(t["context"], t["total"], t["symbol"], self.told, self.deal)
+            sums, kept = _answers(t["context"], t["total"], t["symbol"], self.told, self.cut[0], self.deal)
             own = np.where(kept, (sums + STRENGTH[1] * t["parent"]) / (t["total"] + STRENGTH[1]), t["parent"])
             out[spots] = own[which]
         return np.log10(out)
@@ -284,9 +339,13 @@ def _word_totals(table: pa.Table) -> pa.Table:
     })
 
 
-def score(docs: DataFrame, held_out: Column, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, hot: int | None = None, cut: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows where
-    ``held_out`` doesn't hold."""
+    ``held_out`` doesn't hold.
+
+    Contexts of more than ``cut`` occurrences are counted in slices, which changes no result. Every context is tested, unless ``hot``
+    is given: contexts of more than that many occurrences are then retained without the test.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = size_of(docs)
     each = block_size(docs.sparkSession, size, BLOCK_BYTES)
@@ -298,28 +357,31 @@ def score(docs: DataFrame, held_out: Column, hot: int = HOT) -> DataFrame:
     every = totals.where("block = -1").agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = every
     released(docs.sparkSession)
-    deal = Deal(buckets, hot)
+    deal, kept = Deal(buckets, cut if hot is None else min(cut, hot)), []
 
     def told_of(known: pa.Table) -> list[dict]:
         return [r | {"all_n": n, "all_v": v} for r in known.to_pylist()]
 
-    def ask(depth: int):
+    def ask(depth: int, cuts: list[np.ndarray]):
         def run(table: pa.Table, known: pa.Table) -> pa.Table:
-            s = _Scored(Block(table), told_of(known), deal)
-            e = s.pairs() if depth == 1 else s.triples()[0]
-            return pa.Table.from_batches([_messages(s.block.number, e["context"], e["total"], e["symbol"], e["count"], e["parent"], deal)])
+            s = _Scored(Block(table), told_of(known), cuts, deal)
+            number, e = s.block.number, s.pairs() if depth == 1 else s.triples()[0]
+            del s  # the entries are all that is needed
+            return pa.Table.from_batches([_messages(number, e["context"], e["total"], e["symbol"], e["count"], e["parent"], deal)])
 
         return run
 
     told = totals.where("block >= 0")
     for depth in (1, 2):
-        asked = texts.groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(ask(depth), _ASKED)
-        told = told.unionByName(stored(grouped(asked, "bucket", buckets, _told(depth, STRENGTH[depth - 1]), _TOLD)))
+        asked = texts.groupBy("block").cogroup(dealt(told, "block", groups).groupBy("block")).applyInArrow(ask(depth, [*kept]), _ASKED)
+        answers = stored(grouped(asked, "bucket", buckets, _told(depth, STRENGTH[depth - 1]), _TOLD))
+        kept.append(_cut(answers, STRENGTH[depth - 1], hot))
+        told = told.unionByName(answers.where("block >= 0"))
         released(docs.sparkSession)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         b = Block(table)
-        s = _Scored(b, told_of(known), deal)
+        s = _Scored(b, told_of(known), kept, deal)
         rows = len(b.held)
         sums = lambda x: pa.array(np.bincount(b.row, x, rows))
         return pa.Table.from_arrays([

@@ -351,6 +351,24 @@ def test_suffix_tree_against_dictionaries(spark, docs, block, bucket, hot, monke
     assert model > base
 
 
+def test_suffix_tree_is_the_same_however_contexts_are_cut(spark, monkeypatch):
+    """Common contexts in slices are tested like the others: a word that says nothing of the next isn't retained for being common."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(x for _ in range(r.randint(2, 30)) for x in ("the", r.choice(words), *r.choice([["red", "fox"], []])))) for i in range(120)] + [(None, "the the"), (500, None)]
+    table, held = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3), lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    monkeypatch.setattr(suffix_tree, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(suffix_tree, "block_size", lambda *a: 3000)
+    found = lambda **k: sorted((str(x["doc_id"]), x["score"]) for x in suffix_tree.score(table, remainder_of_crc("doc_id", 7) == 2, **k).collect())
+    whole = found()
+    assert found(cut=6) == found(cut=50) == whole
+    want, kept = brute_tree(rows, held, math.inf)
+    assert any(kept.values()) and not all(kept.values())
+    assert [(i, round(x, 6)) for i, x in whole] == sorted((str(i), round(x, 6)) for (i, _), x in zip(rows, want, strict=True))
+    untested = brute_tree(rows, held, 6)[1]
+    assert any(untested[c] and not kept.get(c) for c in untested)
+
+
 def test_suffix_tree_hears_the_order_of_words(spark):
     r = random.Random(3)
     line = lambda: " ".join(x for _ in range(r.randint(3, 9)) for x in r.choice([["red", "fox"], ["blue", "sea", "calm"], ["old", "oak"]]))
