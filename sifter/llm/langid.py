@@ -6,13 +6,13 @@ is the sum of its training texts' unit vectors. Texts are compared with language
 prototypes, which mostly holds what the languages share, has been taken from both.
 
 Trigrams run over lower-case letters with one gap symbol for every run of other characters, and whole texts are read.
-Prototypes are learnt from at most about ``SAMPLE`` labelled rows of each language, taken by a hash of the row's id so
-that the choice is the same on every run; every other step covers all rows.
+Prototypes and floors are learnt from all labelled rows of the ``LANGUAGES`` most frequent labels.
 
 The best of the centred cosines is never below 0 where there are two languages or more, so it can't tell a text in none of
 them. ``floors`` therefore learns how near a language's own texts come to its prototype: their affinity is the mean inner product of
 a text's trigrams with the uncentred prototype, whose expectation doesn't depend on length and whose error goes with the root of
-the number of distinct trigrams. With floors, a text whose affinity is below both the language's floor and that for its number of
+the number of distinct trigrams. Quantiles are over all labelled rows, of values rounded to the ``FINE`` units, so that counting them
+takes no more room for more rows. With floors, a text whose affinity is below both the language's floor and that for its number of
 trigrams is ``und`` as well; texts of few distinct trigrams (about 40) can't be told and stay.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; a null language or id trains nothing; with no
@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import buffers, column, slices, stream
+from ._io import dropped, stored
 
 DIM = 1024
-SAMPLE = 2000
 #: Languages learnt at most: the most frequent labels.
 LANGUAGES = 512
 #: Distinct trigrams whose vectors are made at once, and codes that are ranked by a table.
@@ -47,6 +47,8 @@ _GAP = 0
 #: has about half of the median, and stays.
 FAR, QUANTILE = 2.0, 0.01
 AT_LENGTH, BY_LENGTH = (0.55, 0.65), (6.0, 12.0)
+#: Units of affinities, and of their distances from the median times the root of the number of trigrams.
+FINE = (1e-5, 1e-4)
 
 
 def _letters() -> np.ndarray:
@@ -145,24 +147,20 @@ def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(values, return_inverse=True)
     seen = np.zeros(most, bool)
     seen[values] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+    return np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32)[values].astype(np.int64) - 1
 
 
-def _picked(docs: DataFrame, training, sample: int) -> DataFrame | None:
-    """lang and text of at most about ``sample`` labelled rows of each language where ``training`` holds; None without any."""
+def _labelled(docs: DataFrame, training: Column) -> DataFrame | None:
+    """lang and text of the labelled rows where ``training`` holds, of the most frequent languages; None without any."""
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not share:
-        return None
-    scale = 1 << 30
-    cut = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * scale))))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < cut[F.col("lang")]).select("lang", "text")
+    found = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    return rows.where(F.col("lang").isin(found)).select("lang", "text") if found else None
 
 
-def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, training: Column, dim: int = DIM) -> dict[str, np.ndarray]:
     """Unit prototypes of the languages in the rows where ``training`` holds."""
-    picked = _picked(docs, training, sample)
-    if picked is None:
+    rows = _labelled(docs, training)
+    if rows is None:
         return {}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +177,28 @@ def train(docs: DataFrame, training, dim: int = DIM, sample: int = SAMPLE) -> di
 
     out: dict[str, np.ndarray] = {}
     # Rounded before summing, so that the order in which partitions end changes nothing.
-    for r in picked.mapInArrow(sums, "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # LANGUAGES times DIM
+    for r in rows.mapInArrow(sums, "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # LANGUAGES times DIM
         out.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["v"] / 1e6
     return {k: v / max(1e-12, float(np.linalg.norm(v))) for k, v in sorted(out.items())}
 
 
-def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE) -> dict[str, tuple[float, float, float]]:
+def _quantiles(rows: DataFrame, value: Column, unit: float, *shares: float) -> dict[str, list[float]]:
+    """By language the quantiles of a value rounded to ``unit``, linear between ranks: counts of the distinct values, and one row of each
+    language to the driver."""
+    each = Window.partitionBy("lang")
+    counts = rows.groupBy("lang", F.round(value / unit).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    counts = counts.select("lang", "v", F.sum("n").over(each.orderBy("v")).alias("upto"), F.sum("n").over(each).alias("all"))
+    rank = [(F.col("all") - 1) * F.lit(float(q)) for q in shares]
+    at = [[F.min(F.when(F.col("upto") > near(r), F.col("v"))) for near in (F.floor, F.ceil)] + [F.first(r - F.floor(r))] for r in rank]
+    found = counts.groupBy("lang").agg(*(x.alias(f"q{i}_{j}") for i, q in enumerate(at) for j, x in enumerate(q)))
+    return {lang: [unit * (low + (high - low) * part) for low, high, part in zip(*[iter(q)] * 3, strict=True)] for lang, *q in found.collect()}
+
+
+def floors(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[str, tuple[float, float, float]]:
     """By language, from the labelled rows of ``docs``: the median affinity of its texts, how far below it a text of any length may
     be, and how far at one distinct trigram, which falls with the root of their number."""
-    picked = _picked(docs, F.col("lang").isin(list(prototypes)), sample) if prototypes else None
-    if picked is None:
+    rows = _labelled(docs, F.col("lang").isin(list(prototypes))) if prototypes else None
+    if rows is None:
         return {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +214,16 @@ def floors(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAM
             batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(near), pa.array(grams)], ["lang", "near", "grams"])
             yield batch.filter(pa.array(grams > 0))
 
-    by: dict[str, list[tuple[float, int]]] = {}
-    for r in picked.mapInArrow(run, "lang STRING, near DOUBLE, grams BIGINT").collect():  # about SAMPLE rows of each language
-        by.setdefault(r["lang"], []).append((r["near"], r["grams"]))
-    out = {}
-    for lang, rows in by.items():
-        near, grams = np.array(rows).T
-        middle = float(np.median(near))
-        below = lambda x, bounds, m=middle: m * float(np.clip(-FAR * np.quantile(x, QUANTILE) / m, *bounds)) if m > 0 else 0.0
-        out[lang] = (middle, below(near - middle, AT_LENGTH), below((near - middle) * np.sqrt(grams), BY_LENGTH))
-    return out
+    near = stored(rows.mapInArrow(run, "lang STRING, near DOUBLE, grams BIGINT"))
+    middle = _quantiles(near, F.col("near"), FINE[0], 0.5, QUANTILE)
+    if not middle:
+        dropped(near)
+        return {}
+    from_middle = F.col("near") - F.create_map(*(F.lit(x) for k, v in middle.items() for x in (k, v[0])))[F.col("lang")]
+    by_length = _quantiles(near, from_middle * F.sqrt("grams"), FINE[1], QUANTILE)
+    dropped(near)
+    below = lambda x, m, bounds: m * float(np.clip(-FAR * x / m, *bounds)) if m > 0 else 0.0
+    return {k: (m, below(low - m, m, AT_LENGTH), below(by_length[k][0], m, BY_LENGTH)) for k, (m, low) in middle.items()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str, tuple[float, float, float]] | None = None, prefix: str = "") -> DataFrame:

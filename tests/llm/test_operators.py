@@ -195,6 +195,25 @@ def test_language(spark, empty):
     assert {x["lang_pred"] for x in langid.identify(table, {}).collect()} == {"und"}
 
 
+def test_languages_and_floors_are_learnt_from_every_labelled_row(spark):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 60))), "aa") for i in range(2600)] + [(i, "xyz wvu", "bb") for i in range(5)] + [(7, None, "aa"), (None, "zzz", "aa"), (8, "zzz", None)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").repartition(3)
+    texts = [t for i, t, lang in rows if lang == "aa" and t is not None and i is not None]
+    unit, size, grams = langid.Profiles().measured(*buffers(pa.array(texts)))
+    want = unit.sum(axis=0) / np.linalg.norm(unit.sum(axis=0))
+    model = langid.train(table, F.lit(True))
+    assert sorted(model) == ["aa", "bb"] and np.allclose(model["aa"], want, atol=1e-6)
+    near, grams = (unit @ model["aa"] * size)[grams > 0], grams[grams > 0]
+    m = np.median(near)
+    below = lambda x, bounds: m * np.clip(-langid.FAR * np.quantile(x, langid.QUANTILE) / m, *bounds)
+    got = langid.floors(table, model)
+    assert sorted(got) == ["aa", "bb"] and got["aa"] == pytest.approx((m, below(near - m, langid.AT_LENGTH), below((near - m) * np.sqrt(grams), langid.BY_LENGTH)), abs=1e-4)
+    pairs = spark.createDataFrame([(k, float(x)) for k, n in (("one", 1), ("two", 2), ("many", 997)) for x in r.choices(range(-300, 300), k=n)], "lang STRING, x DOUBLE")
+    for k, (a, b) in langid._quantiles(pairs, F.col("x"), 1.0, 0.5, 0.013).items():
+        assert (a, b) == pytest.approx(tuple(np.quantile([x["x"] for x in pairs.where(f"lang = '{k}'").collect()], [0.5, 0.013])))
+
+
 def test_language_vectors_against_one_trigram_at_a_time():
     """Sums of rotated letter vectors, over batches with empty, long, foreign and astral texts."""
     texts = ["", "12", "a", "Ab ab", "日本語のテキスト 😀 𝒜b", "É é", "xyz " * 3000, " lead", "trail ", "İß"] + [None]
