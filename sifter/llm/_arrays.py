@@ -7,8 +7,9 @@ made per word. Words follow the contract ``[^\\x20\\x09-\\x0D]+`` after lower-ca
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,18 @@ _GRAM = stream(2, 64) | np.uint64(1)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of batches after which freed memory goes back to the system: idle Python workers would keep it beside the next ones."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return each
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     x = batch.column(batch.schema.get_field_index(name))
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x

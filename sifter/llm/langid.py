@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import buffers, column, slices, stream
+from ._arrays import buffers, column, slices, stream, trimmed
 from ._io import dropped, stored
 
 DIM = 1024
@@ -177,7 +177,7 @@ def train(docs: DataFrame, training: Column, dim: int = DIM) -> dict[str, np.nda
 
     out: dict[str, np.ndarray] = {}
     # Rounded before summing, so that the order in which partitions end changes nothing.
-    for r in rows.mapInArrow(sums, "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # LANGUAGES times DIM
+    for r in rows.mapInArrow(trimmed(sums), "lang STRING, at INT, value DOUBLE").groupBy("lang", "at").agg(F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("v")).collect():  # LANGUAGES times DIM
         out.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["v"] / 1e6
     return {k: v / max(1e-12, float(np.linalg.norm(v))) for k, v in sorted(out.items())}
 
@@ -214,7 +214,7 @@ def floors(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[str, tupl
             batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(near), pa.array(grams)], ["lang", "near", "grams"])
             yield batch.filter(pa.array(grams > 0))
 
-    near = stored(rows.mapInArrow(run, "lang STRING, near DOUBLE, grams BIGINT"))
+    near = stored(rows.mapInArrow(trimmed(run), "lang STRING, near DOUBLE, grams BIGINT"))
     middle = _quantiles(near, F.col("near"), FINE[0], 0.5, QUANTILE)
     if not middle:
         dropped(near)
@@ -259,4 +259,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], least: dict[str
             arrays = [pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(margin)]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *added]))
